@@ -3,9 +3,9 @@
 Each text becomes the set of its word shingles.  One hash of a shingle gives both its bin (the top bits) and its
 value (the low ones); a bin keeps its least value, so one pass makes the whole signature.  Empty bins borrow from
 the bin that a fixed universal hash of (bin, attempt) points to, which keeps the estimator unbiased.  ``rows`` bins
-make a band; the documents of a bucket are only compared with the bucket's least ``doc_id``.  Those the comparison
-rejects form a star of their own, and so on until none is left: the pairs compared stay linear in the bucket's size,
-and none is dropped for the size of its bucket.
+make a band; the documents of a bucket are only compared with the bucket's least ``doc_id``: a star, so the pairs
+compared stay linear in the bucket's size and none is dropped for the size of its bucket.  Two similar documents
+share several buckets, so one whose centre is like neither does not part them (recall is tested against brute force).
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, bins: int, rows: int, shi
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep)),
-                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * bins), len(keep), [None, pa.py_buffer(sig)]).cast(pa.binary()),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(bins), len(keep), [None, pa.py_buffer(mix(sig.astype(U64)).astype(np.uint8))]).cast(pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
                 ],
                 names=["id", "sig", "bands"],
@@ -111,32 +111,28 @@ def _signed(df: DataFrame, id_col: str, text_col: str, bins: int, rows: int, shi
 
 @F.arrow_udf(T.DoubleType())
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """The share of bins in which two signatures agree: an unbiased estimate of the Jaccard similarity."""
+    """An unbiased estimate of the Jaccard similarity from two signatures of one byte a bin.
+
+    Bins agree when their values do, and one time in 256 by chance, which is taken off.
+    """
 
     def matrix(x: pa.Array) -> np.ndarray:
         at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
-        return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint32).reshape(len(x), -1)
+        return np.frombuffer(x.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(x), -1)
 
     if not len(a):
         return pa.array([], pa.float64())
-    return pa.array((matrix(a) == matrix(b)).mean(axis=1))
+    return pa.array(((matrix(a) == matrix(b)).mean(axis=1) - 1 / 256) / (1 - 1 / 256))
 
 
 def similar_edges(signed: DataFrame, least: float = LEAST) -> DataFrame:
     """(id, center, similarity) of the stars' edges whose similarity is ``least`` or more; ``signed`` has id, sig, bands."""
     left = signed.select("id", F.explode("bands").alias("key"))
+    centers = left.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("last > center").drop("last")
+    stars = left.join(centers, "key").where("id > center").select("id", "center").distinct()
     a, b = signed.select("id", F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("center"), F.col("sig").alias("sig_b"))
-    found = None
-    while True:
-        centers = left.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("last > center").drop("last")
-        stars = left.join(centers, "key").where("id > center")
-        scored = checkpointed(stars.select("id", "center").distinct().join(a, "id").join(b, "center").select("id", "center", agreement("sig_a", "sig_b").alias("similarity")).groupBy("id", "center").agg(F.max("similarity").alias("similarity")))
-        good = scored.where(F.col("similarity") >= least)
-        found = good if found is None else found.unionByName(good)
-        rejected = scored.where(F.col("similarity") < least).select("id", "center")
-        if rejected.isEmpty():
-            return found
-        left = checkpointed(stars.join(rejected, ["id", "center"]).select("id", "key"))
+    scored = stars.join(a, "id").join(b, "center").select("id", "center", agreement("sig_a", "sig_b").alias("similarity"))
+    return scored.groupBy("id", "center").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
 
 
 def components(edges: DataFrame) -> DataFrame:
