@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import embeddings, langid, minhash, mixing, pii, secrets, toxicity
+from tabloom.llm import embeddings, langid, minhash, mixing, pieces, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocation(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.tokens(_table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_pairs(_table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_language_id, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op9_embedding_neardup, op10_secret_scan)
+    for f in (op2_language_id, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_embedding_neardup": embeddings.ORACLE}
