@@ -10,6 +10,7 @@ matrix of grams by languages, and a batch is scored by one matrix product.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -114,7 +115,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     language and answers null.
     """
     rows_ = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and length(text) > 0")
-    sample = bounded_sample(rows_, "id", rows).collect()
+    # the sample has a fixed bound, so its ids may go to every executor
+    picked = F.broadcast(bounded_sample(rows_.select("id"), "id", rows).distinct())
+    sample = sorted(rows_.join(picked, "id").collect(), key=lambda r: (hashlib.md5(r["text"].encode()).digest(), r["lang"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
