@@ -5,19 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabloom.llm import embeddings, langid, minhash, mixing, pieces, pii, secrets, toxicity
+from tabloom.llm import audio, embeddings, html, langid, minhash, mixing, pieces, pii, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound, so each text's bytes stand for a clip: 8-bit PCM at 24 kHz, every byte of every text."""
+    clips = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("clip"))
+    return audio.features(clips, rate=24_000, width=1)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.identified(docs, langid.fit(docs))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html.extracted(pages, html.fit(pages))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -49,6 +61,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_language_id, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan)
+    for f in (op1_audio_features, op2_language_id, op3_html_extraction, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_embedding_neardup": embeddings.ORACLE}
