@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RULES = "nfkc"
 SPACE = "▁"
 #: Distinct stretches that a task remembers before it starts anew (memory only: the result is the same).
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _CUT = re.compile(r"\n+| *[^ \n]+| +")
 
 
@@ -58,23 +58,29 @@ class CharacterMap:
         return self.block[start : self.block.index(b"\0", start)]
 
     def _all(self) -> dict[bytes, bytes]:
-        """Every key and its replacement, level by level of the trie."""
+        """Every key and its replacement."""
         found: dict[bytes, bytes] = {}
         if not self.units:
             return found
         units, labels = np.array(self.units, np.int64), np.arange(1, 256)
-        bases, names = np.array([self._offset(self.units[0])]), [b""]
-        while len(bases):
+        todo = [(np.array([self._offset(self.units[0])]), [b""])]
+        while todo:
+            bases, names = todo.pop()
+            if len(bases) > 1024:  # a few MB at a time
+                todo += [(bases[i : i + 1024], names[i : i + 1024]) for i in range(0, len(bases), 1024)]
+                continue
             at = bases[:, None] ^ labels
             inside = at < len(units)
             parent, c = np.nonzero(inside & (units[np.where(inside, at, 0)] & 0x800000FF == labels))
+            if not len(parent):
+                continue
             at = at[parent, c]
             unit = units[at]
             inner = at ^ ((unit >> 10) << ((unit & 512) >> 6))
             names = [names[i] + bytes((x + 1,)) for i, x in zip(parent.tolist(), c.tolist(), strict=True)]
             for i in np.flatnonzero(unit >> 8 & 1).tolist():
                 found[names[i]] = self._value(int(inner[i]))
-            bases = inner
+            todo.append((inner, names))
         return found
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
@@ -268,34 +274,6 @@ class _Memory:
         return per_text, [self.flat[0][index], self.flat[1][index] + shift, self.flat[2][index] + shift]
 
 
-PIECES = T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "begins", "ends")])
-
-
-def encoded(text: Column, model: str = MODEL, rules: str | None = RULES) -> Column:
-    """struct(ids, begins, ends): the pieces and their spans in bytes of the source; null for null, empty for empty texts.
-
-    ``rules`` names a map of the library (``nfkc`` keeps line feeds); None takes the model's own.
-    """
-
-    @F.arrow_udf(PIECES)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory = _Memory(encoder(model, rules))
-        for column in batches:
-            texts = as_strings(column)
-            counts, parts = [np.zeros(0, np.int64)], [[], [], []]
-            for _, part in slices(texts):
-                per, lists = memory.lists(part.to_pylist())
-                counts.append(per)
-                for p, x in zip(parts, lists, strict=True):
-                    p.append(x)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
-            fields = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(p) if p else np.zeros(0, np.int32), pa.int32())) for p in parts]
-            mask = pa.array(column.is_null().to_numpy(zero_copy_only=False))
-            yield pa.StructArray.from_arrays(fields, fields=[pa.field(c, pa.list_(pa.int32())) for c in ("ids", "begins", "ends")], mask=mask)
-
-    return run(text)
-
-
 def decoded(ids: Column, model: str = MODEL) -> Column:
     """The normalised text that the pieces spell; null for null, empty for no pieces."""
 
@@ -310,9 +288,24 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     return run(ids)
 
 
-def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, ids, begins, ends), one row for each of ``df``.
+def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rules: str | None = RULES) -> DataFrame:
+    """(doc_id, ids, begins, ends), one row for each of ``df``: the pieces and their spans in bytes of the source.
 
-    Null texts have null lists; repeated rows and null ids stay; other columns are not looked at.
+    ``rules`` names a map of the library (``nfkc`` keeps line feeds); None takes the model's own.  Null texts have
+    null lists, empty ones empty lists; repeated rows and null ids stay; other columns are not looked at.  Batches
+    go out as small as they are worked on, so the memory needed does not grow with the rows of a batch.
     """
-    return df.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), **options).alias("x")).select("doc_id", "x.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _Memory(encoder(model, rules))
+        for batch in batches:
+            keys, column = batch.column(0), batch.column(1)
+            for at, part in slices(as_strings(column)):
+                counts, lists = memory.lists(part.to_pylist())
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                null = column.slice(at, len(part)).is_null()
+                fields = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()), mask=null) for x in lists]
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(part)), *fields], names=["doc_id", "ids", "begins", "ends"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
