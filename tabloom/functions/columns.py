@@ -26,3 +26,11 @@ def leading_blank(text: Column) -> Column:
 
 def trailing_blank(text: Column) -> Column:
     return F.length(F.regexp_extract(text, rf"(?U){BLANK}*$", 0))
+
+
+def barrier(function: Callable) -> Callable:
+    """``function``, a UDF, so that the optimizer never moves its call into an expression above.
+
+    A call that ends up in a lambda's body cannot be evaluated, and one that is copied runs twice.
+    """
+    return function.asNondeterministic()

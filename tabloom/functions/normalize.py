@@ -9,16 +9,20 @@ the other texts.  Positions are code points, counted from 0.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabloom.functions import pytext
+from tabloom.functions.columns import let
 
 TOKEN = r"(?sU)<[^>]+>|&[#a-zA-Z0-9]+;|[^<&\s\p{Cc}\p{Cf}]+|."
 LEGACY_BREAK = r"(?iU)<br\s*/?\s*>"
-#: Breaks between a table's lines: tags, literal escapes, real line ends, any number of them together.
-BREAKS = r"(?isU)(?:<\s*br\s*/?\s*>|</p>\s*<p>|\\[nr]|[\n\r])+"
+LEGACY_TOKEN = r"(?isU)<[ \n\r\t]*b[ \n\r\t]*r\s*/?\s*>|[ \n\r\t]+|[^< \n\r\t]+|."
+#: Breaks between a table's lines: tags, literal escapes, real line ends, any number of them together.  Possessive,
+#: which changes no match but keeps Java's matcher from recursing once for every break of a long run.
+BREAKS = r"(?isU)(?:<\s*br\s*/?\s*>|</p>\s*<p>|\\[nr]|[\n\r])++"
 
 _NAMES = "amp lt gt quot apos nbsp copy reg middot deg times laquo raquo lsquo rsquo ldquo rdquo ndash mdash bull euro pound yen sect para szlig agrave aacute acirc auml ccedil egrave eacute ecirc euml iacute ntilde oacute ouml uacute uuml Auml Ouml Uuml Eacute".split()
 ENTITIES = {e: pytext.fold(html.unescape(e)) for e in [f"&{n};" for n in _NAMES] + ["&#39;", "&#34;", "&#38;", "&#160;", "&#x27;", "&#8217;"]}
@@ -85,25 +89,52 @@ def folded_text(text: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(tokens(text), folded_token), ""), F.lit(""))
 
 
-def raw_offsets(toks: Column, *positions: Column) -> Column:
-    """struct(p0, p1, ...): where the folded characters at ``positions`` come from in the raw text; -1 if nowhere.
+def _folded_size(t: Column) -> Column:
+    entity = F.length(F.coalesce(F.try_element_at(_entity_map(), t), F.lit("")))
+    return F.when(_is_tag(t), 0).when(_is_entity(t), entity).when(t.rlike(r"(?sU)^[\s\p{Cc}\p{Cf}]$"), 0).otherwise(F.length(t))
+
 
-    One pass over the tokens that keeps two counters and the answers: linear, and no map is ever built.
-    """
+def _offsets(toks: Column, size_of: Callable[[Column], Column], one_place: Callable[[Column], Column], positions: tuple[Column, ...]) -> Column:
+    """One pass over the tokens that keeps two counters and the answers: linear, and no map is ever built."""
     names = [f"p{i}" for i in range(len(positions))]
     zero = F.struct(F.lit(0).alias("folded"), F.lit(0).alias("raw"), *[F.lit(-1).alias(n) for n in names], F.array(*positions).alias("at"))
 
     def step(acc: Column, t: Column) -> Column:
-        size = F.when(_is_tag(t), 0).when(_is_entity(t), F.length(F.coalesce(F.try_element_at(_entity_map(), t), F.lit("")))).when(t.rlike(r"(?sU)^[\s\p{Cc}\p{Cf}]$"), 0).otherwise(F.length(t))
-        found = []
-        for i, n in enumerate(names):
-            ahead = F.get(acc["at"], F.lit(i)) - acc["folded"]
-            found.append(F.when((ahead >= 0) & (ahead < size), acc["raw"] + F.when(_is_entity(t), 0).otherwise(ahead)).otherwise(acc[n]).alias(n))
-        return F.struct((acc["folded"] + size).alias("folded"), (acc["raw"] + F.length(t)).alias("raw"), *found, acc["at"].alias("at"))
+        def advance(size: Column) -> Column:
+            found = []
+            for i, n in enumerate(names):
+                ahead = F.get(acc["at"], F.lit(i)) - acc["folded"]
+                found.append(F.when((ahead >= 0) & (ahead < size), acc["raw"] + F.when(one_place(t), 0).otherwise(ahead)).otherwise(acc[n]).alias(n))
+            return F.struct((acc["folded"] + size).alias("folded"), (acc["raw"] + F.length(t)).alias("raw"), *found, acc["at"].alias("at"))
+
+        return let(size_of(t), advance)
 
     return F.aggregate(toks, zero, step)
 
 
+def raw_offsets(toks: Column, *positions: Column) -> Column:
+    """struct(p0, p1, ...): where the folded characters at ``positions`` come from in the raw text; -1 if nowhere."""
+    return _offsets(toks, _folded_size, _is_entity, positions)
+
+
+def legacy_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LEGACY_TOKEN), F.lit(0))
+
+
+def legacy_raw_offsets(toks: Column, *positions: Column) -> Column:
+    """``raw_offsets`` for the first version's form and ``legacy_tokens``; exact where ``legacy_foldable`` holds."""
+
+    def size(t: Column) -> Column:
+        return F.when((t.startswith("<") & (F.length(t) > 1)) | t.rlike(r"^[ \n\r\t]+$"), 0).otherwise(F.length(t))
+
+    return _offsets(toks, size, lambda t: F.lit(False), positions)
+
+
+def legacy_foldable(text: Column) -> Column:
+    """Whether lower case maps every character of the text to one."""
+    return text.rlike(FOLDABLE)
+
+
 def legacy_folded_text(text: Column) -> Column:
     """The first version's form: no blanks, no ``<br>``, lower case."""
     dense = F.regexp_replace(text, F.lit(r"[ \n\r\t]"), F.lit(""))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import pytext
-from tabloom.functions.columns import let, strip
+from tabloom.functions.columns import barrier, let, strip
 from tabloom.functions.normalize import foldable, folded_text
 
 STRINGS = T.ArrayType(T.StringType())
@@ -66,7 +66,7 @@ def peer_contents(value: Column, kind: T.DataType) -> Column:
     direct = let(parsed, decide)
     blank = value.isNull() | (F.coalesce(text.isNotNull(), F.lit(False)) & (strip(F.coalesce(text, F.lit(""))) == ""))
     hard = direct.isNull() & ~blank
-    slow = _fallback(F.when(hard, written), F.when(hard, text.isNotNull()))
+    slow = barrier(_fallback)(F.when(hard, written), F.when(hard, text.isNotNull()))
     return F.when(blank, F.array().cast(STRINGS)).otherwise(F.coalesce(F.filter(direct, lambda s: folded_text(s) != ""), slow, F.array().cast(STRINGS)))
 
 
@@ -79,4 +79,4 @@ def _keep(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def _kept(contents: Column) -> Column:
     """Of a plain array of contents those that fold to something."""
     easy = F.forall(contents, lambda s: s.isNull() | foldable(s))
-    return F.when(easy, F.filter(contents, lambda s: s.isNotNull() & (folded_text(s) != ""))).otherwise(_keep(F.when(~easy, contents)))
+    return F.when(easy, F.filter(contents, lambda s: s.isNotNull() & (folded_text(s) != ""))).otherwise(barrier(_keep)(F.when(~easy, contents)))

@@ -304,7 +304,10 @@ def legacy_place(source: str, body: str, least: float = 0.5) -> tuple[int, int]
 
 def legacy_extract(raw: str, value: Any, least: float = 0.5) -> tuple[list[str], list[int], list[float]]:
     """Segments, their types, similarities: found tables in order of place, then a zero for each that was not found."""
-    bodies = legacy_bodies(value)
+    return legacy_cut(raw, legacy_bodies(value), least)
+
+
+def legacy_cut(raw: str, bodies: list[str], least: float = 0.5) -> tuple[list[str], list[int], list[float]]:
     if not bodies:
         return [raw], [0], []
     source, spans = legacy_folded(raw), []

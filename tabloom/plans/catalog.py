@@ -1,6 +1,313 @@
-"""The named queries of the table-span operators, and the SQL that gives the same rows."""
+"""The named queries of the table-span operators, and the SQL that gives the same rows.
+
+Every query runs over its whole table.  ``pages`` supply both sides: a page is the text, and the lines of its
+``<nav>`` are the table that a peer supplies.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.functions.normalize import folded_text, legacy_body, legacy_folded_text, raw_offsets, token_kind, tokens
+from tabloom.functions.peers import peer_contents
+from tabloom.operators.legacy import legacy_bodies, with_legacy_segments
+from tabloom.operators.locate import candidate_windows, exact_start
+from tabloom.operators.matching import with_matches
+from tabloom.operators.segments import chosen_spans, cut_text
+from tabloom.operators.spans import header_and_body
+from tabloom.plans.extract import extract_tables, flat_metrics, summary
+from tabloom.sources.jsonl import numbered_lines
+from tabloom.sources.parquet import spread
+
+#: Rows that a side of a join may have to go to every executor.
+BROADCAST_ROWS = 10_000
+
+
+def page_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, ctt, content): each page and the lines of its navigation, with the breaks of a table."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    lines = F.regexp_replace(F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1), r"</li>\s*<li>", "<br>")
+    return pages.select("page_id", F.col("html").alias("ctt"), lines.alias("content"))
+
+
+def _records(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    """Records of pages with one peer, or with those that ``more`` makes of it."""
+    peers = page_peers(spark, sf_dir)
+    made = [m(F.col("content")) for m in more] or [F.col("content")]
+    return peers.select("page_id", "ctt", F.array(*made).alias("tabel_info"))
+
+
+def _matched(spark: SparkSession, sf_dir: str, *more) -> DataFrame:
+    return with_matches(_records(spark, sf_dir, *more), "ctt", "tabel_info")
+
+
+def _first(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    m = F.col("__matches")[0]
+    return _matched(spark, sf_dir).select("page_id", *[m[f].alias(f) for f in fields])
+
+
+def q01_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("k", lambda x: x == kind)).cast("long").alias(f"{kind}_tokens")
+
+    kinds = page_peers(spark, sf_dir).select("page_id", F.transform(tokens(F.col("ctt")), token_kind).alias("k"))
+    return kinds.select("page_id", count("tag"), count("entity"), count("text"))
+
+
+def q02_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_peers(spark, sf_dir).select("page_id", folded_text(F.col("ctt")).alias("n")).select("page_id", F.length("n").cast("long").alias("chars"), F.md5("n").alias("digest"))
+
+
+def q03_offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the first, the middle and the last folded character of every page come from."""
+    base = page_peers(spark, sf_dir).select("page_id", tokens(F.col("ctt")).alias("t"), F.length(folded_text(F.col("ctt"))).alias("n")).where("n > 0")
+    places = base.select("page_id", raw_offsets(F.col("t"), F.lit(0), F.floor(F.col("n") / 2).cast("int"), F.col("n") - 1).alias("p"))
+    return places.select("page_id", F.col("p.p0").cast("long").alias("first_at"), F.col("p.p1").cast("long").alias("middle_at"), F.col("p.p2").cast("long").alias("last_at"))
+
+
+def q04_peer_contents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents from JSON text that also holds a number, a null content, a blank one and an object without any."""
+    item = F.to_json(F.struct(F.col("content")))
+    text = F.concat(F.lit('[1,{"content":null},'), item, F.lit(',{"content":"<br>"},{"x":1},{"content":"tail"}]'))
+    base = page_peers(spark, sf_dir).withColumn("tabel_info", text)
+    found = base.select("page_id", peer_contents(F.col("tabel_info"), base.schema["tabel_info"].dataType).alias("c"))
+    return found.select("page_id", F.posexplode("c").alias("table_idx", "content")).select("page_id", F.col("table_idx").cast("long"), F.md5("content").alias("digest"))
+
+
+def q05_split_header_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = page_peers(spark, sf_dir).select("page_id", header_and_body(F.col("content")).alias("x"))
+    return base.select("page_id", F.col("x.body").alias("body"), F.col("x.header").cast("long").alias("header_chars"))
+
+
+def q06_locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = page_peers(spark, sf_dir).select("page_id", folded_text(F.col("ctt")).alias("s"), folded_text(F.col("content")).alias("q"))
+    return base.select("page_id", exact_start(F.col("s"), F.col("q")).cast("long").alias("at"), F.length("q").cast("long").alias("chars"))
+
+
+def q07_full_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, "full_start", "full_end")
+
+
+def q08_body_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, "body_start", "body_end")
+
+
+def q09_extracted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first(spark, sf_dir, "extracted_table")
+
+
+def q10_flat_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = flat_metrics(extract_tables(_records(spark, sf_dir)), "page_id")
+    spans = {f"{n}_{e}": F.col(f"{n}_span")[i] for n in ("full", "body") for i, e in enumerate(("start", "end"))}
+    return flat.withColumns(spans).drop("full_span", "body_span")
+
+
+def q11_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = flat_metrics(extract_tables(_records(spark, sf_dir, lambda c: F.lit("@@none@@<br>zzz"))), "page_id")
+    return flat.select("page_id", "peer_body", "matched", "extracted_table", "similarity", "match_score", "match_mode", F.col("full_span").isNull().alias("no_span"))
+
+
+def q12_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = extract_tables(_records(spark, sf_dir)).select("page_id", F.posexplode(F.arrays_zip("text_list", "type_list")).alias("seq", "x"))
+    return pieces.select("page_id", F.col("seq").cast("long"), F.col("x.type_list").alias("type"), F.md5("x.text_list").alias("digest"))
+
+
+def q13_segments_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = extract_tables(_records(spark, sf_dir, lambda c: c, lambda c: F.element_at(F.split(c, "<br>"), -1)))
+    return cut.select("page_id", F.md5(F.array_join("text_list", "")).alias("digest"), F.length(F.array_join("text_list", "")).cast("long").alias("chars"))
+
+
+def q14_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table and its body as two peers: both match, and one of them is chosen."""
+    base = _matched(spark, sf_dir, lambda c: c, lambda c: header_and_body(c)["body"])
+    chosen = base.select("page_id", F.size(F.filter("__matches", lambda m: m["matched"])).cast("long").alias("matched"), F.explode(chosen_spans(F.col("__matches"))).alias("s"))
+    return chosen.select("page_id", "matched", F.col("s.start").alias("body_start"), F.col("s.end").alias("body_end"), F.col("s.idx").alias("table_idx"))
+
+
+def q15_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = extract_tables(_records(spark, sf_dir, lambda c: c, lambda c: F.lit("@@none@@<br>zzz")))
+    return summary(records).select("total_records", "total_tables", "matched_tables")
+
+
+def q16_candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = page_peers(spark, sf_dir).select("page_id", folded_text(F.col("ctt")).alias("s"), folded_text(F.col("content")).alias("q"))
+    windows = base.select("page_id", F.posexplode(candidate_windows(F.col("s"), F.col("q"))).alias("seq", "w"))
+    return windows.select("page_id", F.col("seq").cast("long"), F.col("w.start").cast("long").alias("start"), F.col("w.end").cast("long").alias("end"))
+
+
+def q17_doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which passage of ``benchmark``, folded; each text is folded once, before the join."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", folded_text(F.col("text")).alias("s"))
+    passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", folded_text(F.col("text")).alias("q"))
+    if passages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        passages = F.broadcast(passages)
+    return docs.join(passages, F.expr("q <> '' AND contains(s, q)")).select("doc_id", "item_id", exact_start(F.col("s"), F.col("q")).cast("long").alias("at"))
+
+
+def _thinned(content):
+    """Every 11th character left out."""
+    chars = F.filter(F.split(content, ""), lambda c, i: (i + 1) % 11 != 0)
+    return F.array_join(chars, "")
+
+
+def q18_fuzzy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat_metrics(extract_tables(_records(spark, sf_dir, _thinned)), "page_id")
+
+
+def q19_loose_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents from a Python literal, from broken text and from nested lists."""
+    quoted = F.regexp_replace("content", r"[\\'\"\n]", " ")
+    forms = F.explode(
+        F.array(
+            F.concat(F.lit("[{'content': '"), quoted, F.lit("', 'n': None}]")),
+            F.concat(F.lit('[{"content": "'), quoted, F.lit('", bad}]')),
+            F.concat(F.lit('[[{"content": "'), quoted, F.lit('"}]]')),
+        )
+    )
+    base = page_peers(spark, sf_dir).select("page_id", forms.alias("tabel_info"))
+    found = base.select("page_id", F.explode(peer_contents(F.col("tabel_info"), base.schema["tabel_info"].dataType)).alias("content"))
+    return found.groupBy("page_id", F.md5("content").alias("digest")).agg(F.count("*").alias("n"))
+
+
+def q20_legacy_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = page_peers(spark, sf_dir).select("page_id", legacy_folded_text(F.col("ctt")).alias("n"), legacy_body(F.col("content")).alias("body"))
+    return base.select("page_id", F.length("n").cast("long").alias("chars"), F.md5("n").alias("digest"), "body")
+
+
+def _legacy(spark: SparkSession, sf_dir: str, change=lambda c: c) -> DataFrame:
+    """The whole content of the navigation as it stands, behind a header line that the text lacks."""
+    nav = F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1)
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    info = F.to_json(F.array(F.struct(F.concat(F.lit("Head<br>"), change(nav)).alias("content"))))
+    records = pages.select("page_id", F.col("html").alias("ctt"), info.alias("tabel_info"))
+    base = records.select("page_id", "ctt", legacy_bodies(F.col("tabel_info"), records.schema["tabel_info"].dataType).alias("bodies"))
+    return with_legacy_segments(base, "ctt", "bodies").select("page_id", "__legacy.*")
+
+
+def q21_legacy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = _legacy(spark, sf_dir)
+    return cut.select("page_id", F.length(F.col("segments")[0]).cast("long").alias("start"), F.length(F.col("segments")[1]).cast("long").alias("chars"), F.col("similarities")[0].alias("similarity"))
+
+
+def q22_legacy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _legacy(spark, sf_dir).select("page_id", F.posexplode(F.arrays_zip("segments", "types")).alias("seq", "x"))
+    return pieces.select("page_id", F.col("seq").cast("long"), F.col("x.types").alias("type"), F.md5("x.segments").alias("digest"))
+
+
+def q23_legacy_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _legacy(spark, sf_dir, _thinned)
+
+
+def q24_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a file written for the query: one record a page, a blank line after every seventh."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tabloom-lines-")
+    path = f"{folder}/lines-{uuid.uuid4().hex}"
+    ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    text = F.concat(F.lit('{"page_id":'), F.col("page_id").cast("string"), F.lit("}"), F.when(F.col("page_id") % 7 == 0, "\n ").otherwise(""))
+    # the oracle needs one file in order; the reader itself counts every split on its own
+    ids.coalesce(1).sortWithinPartitions("page_id").select(text.alias("value")).write.text(path)
+    lines = numbered_lines(spark, path)
+    return lines.select(F.get_json_object("value", "$.page_id").cast("long").alias("page_id"), "line_no", "record_index")
+
+
+_BY_NAME: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    q01_tokenize, q02_normalize_text, q03_offset_map, q04_peer_contents_json, q05_split_header_body, q06_locate_exact, q07_full_span, q08_body_span, q09_extracted_table, q10_flat_metrics_exact, q11_unmatched, q12_segments,
+    q13_segments_lossless, q14_overlaps, q15_summary, q16_candidate_windows, q17_doc_passages, q18_fuzzy_metrics, q19_loose_parse, q20_legacy_normalize, q21_legacy_spans, q22_legacy_segments, q23_legacy_fuzzy, q24_line_numbers,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _BY_NAME}
+
+# ---- the same in SQL -------------------------------------------------------------------------------------------------
+
+_BLANK = r"[\s\p{Z}\p{Cc}\p{Cf}]"
+_TOKENS = r"(?s)<[^>]+>|&[#a-zA-Z0-9]+;|[^<&\s\p{Z}\p{Cc}\p{Cf}]+|."
+_BREAK = r"(?:(?i:<\s*br\s*/?\s*>|</p>\s*<p>)|\\[nr]|[\n\r])+"
+
+
+def _piece(t: str) -> str:
+    return f"""CASE WHEN {t}[1] = '<' AND length({t}) > 1 THEN '' WHEN {t} = '&amp;' THEN '&' WHEN {t} = '&copy;' THEN '©' WHEN {t} = '&middot;' THEN '·' WHEN {t} = '&quot;' THEN '"'
+      WHEN {t} = '&lt;' THEN '<' WHEN {t} = '&gt;' THEN '>' WHEN {t} = '&nbsp;' THEN '' WHEN regexp_full_match({t}, '(?s){_BLANK}') THEN '' ELSE lower({t}) END"""
+
+
+def _folded(x: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '{_TOKENS}'), lambda t: {_piece('t')}), '')"
+
+
+_PEERS = r"""p AS (SELECT page_id, html AS ctt, regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '</li>\s*<li>', '<br>', 'g') AS content FROM pages)"""
+_PLACES = f"""k AS (SELECT page_id, t, i FROM (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(ctt, '{_TOKENS}') AS x FROM p))),
+f AS (SELECT page_id, i, t, {_piece("t")} AS f FROM k),
+o AS (SELECT page_id, i, length(f) AS size, t[1] = '&' AND length(t) > 1 AS one, sum(length(f)) OVER w - length(f) AS f0, sum(length(t)) OVER w - length(t) AS r0 FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+n AS (SELECT page_id, string_agg(f, '' ORDER BY i) AS norm FROM f GROUP BY page_id)"""
+_BODY = rf"""trim(regexp_replace(trim(content, E' \n\r\t'), '(?s)^.*?{_BREAK}', ''), E' \n\r\t')"""
+_HEAD = rf"""regexp_extract(trim(content, E' \n\r\t'), '(?s)^(.*?){_BREAK}', 1)"""
+
+
+def _raw(k: str) -> str:
+    return f"(SELECT CAST(o.r0 + CASE WHEN o.one THEN 0 ELSE {k} - o.f0 END AS INTEGER) FROM o WHERE o.page_id = q.page_id AND o.f0 <= {k} AND {k} < o.f0 + o.size)"
+
+
+_MATCH = f"""WITH {_PEERS}, {_PLACES},
+q AS (SELECT p.page_id, ctt, content, norm, {_folded("content")} AS query, {_BODY} AS body, length({_folded(_HEAD)}) AS header, strpos(norm, {_folded("content")}) - 1 AS at FROM p JOIN n USING (page_id)),
+m AS (SELECT page_id, ctt, content, body, header, {_raw("q.at")} AS full_start, {_raw("(q.at + length(q.query) - 1)")} + 1 AS full_end, {_raw("(q.at + q.header)")} AS body_start FROM q)
+"""
+_PAGE_LEGACY = r"""WITH d AS (SELECT page_id, html, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+x AS (SELECT *, regexp_replace(nav, '^[ \n\r\t]+|[ \n\r\t]+$', '', 'g') AS body FROM d),
+y AS (SELECT page_id, html, body, strpos(html, body) - 1 AS pos FROM x)
+"""
+
+ORACLES: dict[str, str] = {
+    "q01_tokenize": f"""WITH {_PEERS}, {_PLACES}
+SELECT page_id, count(*) FILTER (t[1] = '<' AND length(t) > 1) AS tag_tokens, count(*) FILTER (t[1] = '&' AND length(t) > 1) AS entity_tokens,
+  count(*) FILTER (NOT (t[1] IN ('<', '&') AND length(t) > 1) AND NOT regexp_full_match(t, '(?s){_BLANK}')) AS text_tokens FROM f GROUP BY page_id""",
+    "q02_normalize_text": f"WITH {_PEERS} SELECT page_id, CAST(length(n) AS BIGINT) AS chars, md5(n) AS digest FROM (SELECT page_id, {_folded('ctt')} AS n FROM p)",
+    "q03_offset_map": f"""WITH {_PEERS}, {_PLACES}, q AS (SELECT page_id, length(norm) AS n FROM n WHERE length(norm) > 0)
+SELECT page_id, CAST({_raw("0")} AS BIGINT) AS first_at, CAST({_raw("(q.n // 2)")} AS BIGINT) AS middle_at, CAST({_raw("(q.n - 1)")} AS BIGINT) AS last_at FROM q""",
+    "q04_peer_contents_json": f"""WITH {_PEERS} SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS table_idx, md5(content) AS digest
+FROM (SELECT page_id, 0 AS k, content FROM p UNION ALL SELECT page_id, 1, 'tail' FROM p) WHERE {_folded("content")} <> ''""",
+    "q05_split_header_body": f"WITH {_PEERS} SELECT page_id, {_BODY} AS body, CAST(length({_folded(_HEAD)}) AS BIGINT) AS header_chars FROM p",
+    "q06_locate_exact": f"WITH {_PEERS} SELECT page_id, CAST(strpos({_folded('ctt')}, {_folded('content')}) - 1 AS BIGINT) AS at, CAST(length({_folded('content')}) AS BIGINT) AS chars FROM p",
+    "q07_full_span": _MATCH + "SELECT page_id, full_start, full_end FROM m",
+    "q08_body_span": _MATCH + "SELECT page_id, body_start, full_end AS body_end FROM m",
+    "q09_extracted_table": _MATCH + "SELECT page_id, substr(ctt, body_start + 1, full_end - body_start) AS extracted_table FROM m",
+    "q10_flat_metrics_exact": _MATCH
+    + """SELECT page_id, CAST(0 AS INTEGER) AS table_idx, content AS peer_content, body AS peer_body, true AS matched, substr(ctt, body_start + 1, full_end - body_start) AS extracted_table, 1.0::DOUBLE AS similarity,
+  1.0::DOUBLE AS match_score, 'exact' AS match_mode, full_start, full_end, body_start, full_end AS body_end FROM m""",
+    "q11_unmatched": "SELECT page_id, 'zzz' AS peer_body, false AS matched, '' AS extracted_table, 0.0::DOUBLE AS similarity, 0.0::DOUBLE AS match_score, 'unmatched' AS match_mode, true AS no_span FROM pages",
+    "q12_segments": _MATCH
+    + """, s AS (SELECT page_id, 0 AS k, 0 AS type, substr(ctt, 1, body_start) AS t FROM m WHERE body_start > 0
+  UNION ALL SELECT page_id, 1, 1, substr(ctt, body_start + 1, full_end - body_start) FROM m
+  UNION ALL SELECT page_id, 2, 0, substr(ctt, full_end + 1) FROM m WHERE full_end < length(ctt))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS seq, CAST(type AS INTEGER) AS type, md5(t) AS digest FROM s""",
+    "q13_segments_lossless": "SELECT page_id, md5(html) AS digest, CAST(length(html) AS BIGINT) AS chars FROM pages",
+    "q14_overlaps": _MATCH + "SELECT page_id, CAST(2 AS BIGINT) AS matched, body_start, full_end AS body_end, CAST(0 AS INTEGER) AS table_idx FROM m",
+    "q15_summary": "SELECT count(*) AS total_records, 2 * count(*) AS total_tables, count(*) AS matched_tables FROM pages",
+    "q16_candidate_windows": f"""WITH RECURSIVE {_PEERS},
+b AS (SELECT page_id, {_folded("ctt")} AS s, {_folded("content")} AS q FROM p),
+a AS (SELECT page_id, s, q, length(q) AS n, least(48, greatest(8, length(q) // 4)) AS size, greatest(32, length(q) // 3) AS pad FROM b WHERE q <> ''),
+c AS (SELECT DISTINCT page_id, s, n, pad, begin_, substr(q, begin_ + 1, size) AS anchor FROM (SELECT *, unnest([0, greatest(0, n // 2 - size // 2), greatest(0, n - size)]) AS begin_ FROM a)),
+h AS (SELECT page_id, s, n, pad, begin_, anchor, strpos(s, anchor) AS hit, 1 AS k FROM c WHERE strpos(s, anchor) > 0
+  UNION ALL SELECT page_id, s, n, pad, begin_, anchor, hit + strpos(substr(s, hit + 1), anchor), k + 1 FROM h WHERE k < 20 AND strpos(substr(s, hit + 1), anchor) > 0),
+w AS (SELECT DISTINCT page_id, greatest(0, hit - 1 - begin_ - pad) AS start, least(length(s), hit - 1 - begin_ + n + pad) AS "end" FROM h)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY start, "end") - 1 AS BIGINT) AS seq, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM w""",
+    "q17_doc_passages": f"""WITH d AS (SELECT doc_id, {_folded("text")} AS s FROM documents), b AS (SELECT item_id, {_folded("text")} AS q FROM benchmark)
+SELECT doc_id, item_id, CAST(strpos(s, q) - 1 AS BIGINT) AS at FROM d JOIN b ON q <> '' AND contains(s, q)""",
+    "q19_loose_parse": rf"""WITH {_PEERS} SELECT page_id, md5(regexp_replace(content, '[\\''"\n]', ' ', 'g')) AS digest, CAST(3 AS BIGINT) AS n FROM p""",
+    "q20_legacy_normalize": rf"""WITH {_PEERS}, x AS (SELECT page_id, lower(regexp_replace(regexp_replace(ctt, '[ \n\r\t]', '', 'g'), '(?i)<br\s*/?\s*>', '', 'g')) AS n, regexp_replace(content, '(?is)^.*?<br\s*/?\s*>', '') AS body FROM p)
+SELECT page_id, CAST(length(n) AS BIGINT) AS chars, md5(n) AS digest, body FROM x""",
+    "q21_legacy_spans": _PAGE_LEGACY + "SELECT page_id, CAST(pos AS BIGINT) AS start, CAST(length(body) AS BIGINT) AS chars, 1.0::DOUBLE AS similarity FROM y",
+    "q22_legacy_segments": _PAGE_LEGACY
+    + """, s AS (SELECT page_id, 0 AS k, 0 AS type, substr(html, 1, pos) AS t FROM y WHERE pos > 0 UNION ALL SELECT page_id, 1, 1, body FROM y
+  UNION ALL SELECT page_id, 2, 0, substr(html, pos + length(body) + 1) FROM y WHERE pos + length(body) < length(html))
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS seq, CAST(type AS INTEGER) AS type, md5(t) AS digest FROM s""",
+    "q24_line_numbers": """SELECT page_id, CAST(r + coalesce(sum(blank) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, CAST(r - 1 AS BIGINT) AS record_index
+FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r, CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS blank FROM pages)""",
+}
