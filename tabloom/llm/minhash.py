@@ -189,11 +189,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).count().where("count > 1").select("id", F.lit("repeat").alias("why"))
     gone = near_duplicates(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("id"), F.lit("copy").alias("why"))
     verdict = checkpointed(gone.unionByName(ids).groupBy("id").agg(F.min("why").alias("why")))
-    key = F.col(id_col).cast("long")
-    stay = df.join(verdict.select(F.col("id").alias("__verdict_id")), key == F.col("__verdict_id"), "left_anti")
-    again = verdict.where("why = 'repeat'").select(F.col("id").alias("__verdict_id"))
+    # the row as a struct, so that no name of its columns can clash with one of these
+    rows = df.select(F.col(id_col).cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    stay = rows.join(verdict.select(F.col("id").alias("key")), "key", "left_anti").select("row.*")
+    again = verdict.where("why = 'repeat'").select(F.col("id").alias("key"))
     if again.isEmpty():
         return stay
-    rows = df.join(again, key == F.col("__verdict_id"), "left_semi")
-    one = rows.groupBy(id_col).agg(F.min(F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("__order"), F.struct(*[F.col(c) for c in df.columns]).alias("__row"))).alias("__least")).select("__least.__row.*")
-    return stay.unionByName(one)
+    least = F.min(F.struct(F.coalesce(F.col("row")[text_col], F.lit("")).alias("order"), F.col("row").alias("row"))).alias("least")
+    return stay.unionByName(rows.join(again, "key", "left_semi").groupBy("key").agg(least).select("least.row.*"))

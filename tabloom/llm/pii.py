@@ -327,9 +327,14 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
 
 
 def without_entities(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", field: Field | None = None) -> DataFrame:
-    """``df`` with its texts redacted and, if it has that column, their lengths brought up to date; every row stays."""
-    new = df.withColumn("__redacted", redacted(F.col(text_col), field))
-    columns = {text_col: F.coalesce(F.col("__redacted"), F.col(text_col))}
+    """``df`` with its texts redacted and, if it has that column, their lengths brought up to date; every row stays.
+
+    Null and empty texts stay as they are; other columns may have any name.
+    """
+    name = "redacted"
+    while name in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    columns = {text_col: F.coalesce(F.col(name), F.col(text_col))}
     if chars_col in df.columns:
-        columns[chars_col] = F.when(F.col("__redacted").isNotNull(), F.length("__redacted").cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return new.withColumns(columns).drop("__redacted")
+        columns[chars_col] = F.when(F.col(name).isNotNull(), F.length(name).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return df.withColumn(name, redacted(F.col(text_col), field)).withColumns(columns).drop(name)
