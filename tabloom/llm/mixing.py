@@ -14,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.llm._durable import checkpointed
+
 SEED = 20240
 RANGES = 4096
+#: Sources whose quotas may go to every executor, about 100 bytes each.
+BROADCAST_SOURCES = 100_000
 
 
 def _size(text: Column) -> Column:
@@ -49,16 +53,18 @@ def quotas(stats: DataFrame, total: int | None, weights: dict[str, float] | None
     return part.select("__source", "__sizes", (F.col("__base") + F.when(F.col("__place") <= F.col("__short"), 1).otherwise(0)).alias("__quota"))
 
 
-def with_copies(df: DataFrame, total: int | None = None, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """``df`` and ``__copies``: how often each row is in the mixture; rows that are not in it are left out.
+def drawn(df: DataFrame, total: int | None = None, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """(row, copies): each row of ``df`` that is in the mixture, as a struct, and how often.
 
     A null source is a source of its own.  A null text has the size of an empty one.  Equal ranks (repeated ids) go by
-    id and then by text; rows equal in all three are interchangeable.  Names that begin with two underscores are
-    taken for the working columns.  An empty table gives no rows.
+    id and then by text; rows equal in all three are interchangeable.  Other columns may have any name.  An empty
+    table gives no rows.
     """
-    base = df.withColumns({"__size": _size(F.col(text_col)), "__u": _uniform(F.col(id_col), seed), "__source": F.col(source_col)})
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), _size(F.col(text_col)).alias("__size"), _uniform(F.col(id_col), seed).alias("__u"), F.col(source_col).alias("__source"))
     stats = base.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__size").alias("__sizes"))
-    plan = quotas(stats, total, weights)
+    plan = checkpointed(quotas(stats, total, weights))
+    # one row a source; beyond the bound the join shuffles, and adaptive execution splits what a hot source makes too large
+    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda x: x
     # sizes are small whole numbers, so quota x size stays far below 2^63
     share = {
         "__sure": F.expr("(__quota * __size) div __sizes"),
@@ -66,7 +72,7 @@ def with_copies(df: DataFrame, total: int | None = None, weights: dict[str, floa
     }
 
     def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
-        rows = rows.join(by.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumns(share)
+        rows = rows.join(small(by.withColumnRenamed("__source", "__s")), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s").withColumns(share)
         q = F.when(F.col("__p") > 0, (F.col("__u") / (1.0 - F.col("__u"))) * ((1.0 - F.col("__p")) / F.col("__p")))
         return rows.withColumn("__q", q).withColumn("__range", F.floor(F.col("__q") / (1.0 + F.col("__q")) * RANGES))
 
@@ -77,23 +83,23 @@ def with_copies(df: DataFrame, total: int | None = None, weights: dict[str, floa
     cuts = counts.withColumn("__need", F.col("__quota") - F.sum("__sures").over(one)).withColumn("__upto", upto)
     # the first range that reaches the need; its lesser ranks are taken up to what the earlier ranges leave
     cut = cuts.where("__need > 0 and __range is not null and __upto >= __need").groupBy("__source").agg(F.min("__range").alias("__cut"), F.min_by(F.col("__need") - F.col("__upto") + F.col("__n"), "__range").alias("__left"))
-    whole = plan.withColumnRenamed("__source", "__c").join(cut, F.col("__c").eqNullSafe(F.col("__source")), "left").drop("__source").withColumnRenamed("__c", "__source")
+    whole = checkpointed(plan.withColumnRenamed("__source", "__c").join(cut, F.col("__c").eqNullSafe(F.col("__source")), "left").drop("__source").withColumnRenamed("__c", "__source"))
     rows = ranked(base, whole).withColumn("__at_cut", F.coalesce(F.col("__range") == F.col("__cut"), F.lit(False)))
     clear = rows.where("not __at_cut").withColumn("__extra", F.coalesce((F.col("__range") < F.col("__cut")).cast("long"), F.lit(0)))
-    order = Window.partitionBy("__source").orderBy("__q", F.col(id_col).asc_nulls_first(), F.col(text_col).asc_nulls_first())
+    order = Window.partitionBy("__source").orderBy("__q", F.col("row")[id_col].asc_nulls_first(), F.col("row")[text_col].asc_nulls_first())
     edge = rows.where("__at_cut").withColumn("__place", F.row_number().over(order)).withColumn("__extra", (F.col("__place") <= F.col("__left")).cast("long")).drop("__place")
-    copies = F.col("__sure") + F.col("__extra")
-    return clear.unionByName(edge).select(*[F.col(c) for c in df.columns], copies.alias("__copies")).where("__copies > 0")
+    return clear.unionByName(edge).select("row", (F.col("__sure") + F.col("__extra")).alias("copies")).where("copies > 0")
 
 
 def mixture(df: DataFrame, **options) -> DataFrame:
-    """``df``'s rows, each as often as ``with_copies`` says."""
-    return with_copies(df, **options).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copy", "__copies")
+    """``df``'s rows, each as often as ``drawn`` says."""
+    return drawn(df, **options).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
-def allocation(df: DataFrame, **options) -> DataFrame:
-    """(doc_id, source, copies) of each document that is in the mixture."""
-    return with_copies(df, **options).select("doc_id", "source", F.col("__copies").alias("copies"))
+def allocation(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """(doc_id, source, copies) of each row that is in the mixture."""
+    out = drawn(df, id_col=id_col, source_col=source_col, **options)
+    return out.select(F.col("row")[id_col].alias("doc_id"), F.col("row")[source_col].alias("source"), "copies")
 
 
 ORACLE = f"""
