@@ -27,7 +27,9 @@ PREFIXES = (4, 5, 6)
 SAMPLE_ROWS = 6000
 #: Below this G^2 (p = 1e-6) an association may be chance; LEAST_FEATURES are kept all the same, MOST_FEATURES at most.
 SIGNIFICANT, LEAST_FEATURES, MOST_FEATURES = 24.0, 128, 2048
-THRESHOLD = 0.3
+THRESHOLD = 0.5
+#: Share of a text's terms that a training step sees.
+KEEP_TERMS = 0.8
 
 
 def bucket_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def _g2(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (xlogx(a) + xlogx(b) + xlogx(na - a) + xlogx(nb - b) - xlogx(a + b) - xlogx(n - a - b) - xlogx(np.float64(na)) - xlogx(np.float64(nb)) + xlogx(np.float64(n)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int = 60, seed: int = 5) -> Machine:
+def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int = 60, seed: int = 5, keep_terms: float = KEEP_TERMS) -> Machine:
     """From the distinct buckets of each text and its label.  Without both labels it is a machine that scores by the prior."""
     y = labels.astype(np.float64)
     n, positive = len(y), int(y.sum())
@@ -115,7 +117,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int
     step, size = 0, 128
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(n), max(1, n // size)):
-            xb = x[part].astype(np.float64)
+            # of a text's terms some are left out each time, so that each insult counts without the others, too
+            xb = x[part] * (rng.random((len(part), x.shape[1])) < keep_terms)
             xv = xb @ v
             z = w0[0] + xb @ w + ((xv**2).sum(1) - xb @ (v**2).sum(1)) / 2
             err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[part]) * weight[part] / len(part)
