@@ -14,7 +14,7 @@ from tabloom.functions.columns import barrier, let, strip
 from tabloom.functions.normalize import legacy_body, legacy_foldable, legacy_folded_text, legacy_raw_offsets, legacy_tokens
 from tabloom.operators.segments import cut_text
 
-RESULT = T.StructType.fromDDL("segments array<string>, types array<int>, similarities array<double>")
+RESULT = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("segments", T.StringType()), ("types", T.IntegerType()), ("similarities", T.DoubleType()))])
 _ARROW = pa.struct([("segments", pa.list_(pa.string())), ("types", pa.list_(pa.int32())), ("similarities", pa.list_(pa.float64()))])
 _SPAN = "struct<start:int,end:int,idx:int>"
 STRINGS = "array<string>"

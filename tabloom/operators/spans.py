@@ -55,8 +55,7 @@ def first_break(span: Column) -> Column:
         both = (folded_text(slice_of(span, F.lit(0), start)) != "") & (folded_text(slice_of(span, end, F.length(span))) != "")
         return F.when(acc["found"].isNotNull(), acc).otherwise(F.struct(end.alias("at"), F.when(both, end).alias("found")))
 
-    named = F.transform(pairs, lambda x: F.struct(x["0"].alias("piece"), x["1"].alias("stop")))
-    return F.aggregate(named, F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("found")), step)["found"]
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("found")), step)["found"]
 
 
 def _row(idx: Column, content: Column, body: Column, **found: Column) -> Column:
