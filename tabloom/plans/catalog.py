@@ -140,7 +140,7 @@ def q16_candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q17_doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold which passage of ``benchmark``, folded; each text is folded once, before the join."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", folded_text(F.col("text")).alias("s"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", folded_text(F.col("text")).alias("s"))
     passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", folded_text(F.col("text")).alias("q"))
     if passages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         passages = F.broadcast(passages)
