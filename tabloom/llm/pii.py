@@ -199,7 +199,7 @@ def examples(count: int, seed: int) -> list[tuple[str, str, list[tuple[int, int,
         d = next(d for d in iter(lambda: "4" + num(15), "") if not luhn(d))
         return d if r.random() < 0.5 else r.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
 
-    fakes = (lambda: f"{r.randint(1, 12)}.{r.randint(0, 30)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"${num(3)}.{num(2)}", lambda: num(r.choice((5, 6, 8, 10, 12))), lambda: f'"{hexa(40)}"', lambda: f"password={hexa(18)}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"@{word()}", lambda: f"{num(2)}:{num(2)}", lambda: f"300.{num(3)}.{r.randint(256, 999)}.1", no_card, lambda: f"id={num(16)}", lambda: f"{num(3)}-{num(4)}", lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}", lambda: f"x{num(16)}y")
+    fakes = (lambda: f"{r.randint(1, 12)}.{r.randint(0, 30)}", lambda: f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", lambda: str(r.randint(1900, 2030)), lambda: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", lambda: f"${num(3)}.{num(2)}", lambda: num(r.choice((5, 6, 8, 10, 12))), lambda: f'"{hexa(40)}"', lambda: f'"{hexa(40).upper()}"', lambda: f"{hexa(r.choice((32, 64))).upper()}!!", lambda: f"password={hexa(18)}", lambda: "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: f"@{word()}", lambda: f"{num(2)}:{num(2)}", lambda: f"300.{num(3)}.{r.randint(256, 999)}.1", no_card, lambda: f"id={num(16)}", lambda: f"{num(3)}-{num(4)}", lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}", lambda: f"x{num(16)}y")
     out = []
     for _ in range(count):
         text, spans = "", []
