@@ -6,6 +6,7 @@ the bin that a fixed universal hash of (bin, attempt) points to, which keeps the
 make a band; the documents of a bucket are only compared with the bucket's least ``doc_id``: a star, so the pairs
 compared stay linear in the bucket's size and none is dropped for the size of its bucket.  Two similar documents
 share several buckets, so one whose centre is like neither does not part them (recall is tested against brute force).
+The signatures' estimate only picks candidates: an edge stands if the shingle sets themselves are similar enough.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 from tabloom.llm._durable import checkpointed
 from tabloom.llm._text import U64, Words, as_strings, mix, slices
 
-BINS, ROWS, SHINGLE, LEAST = 128, 3, 3, 0.45
+#: LEAST bounds the estimate of a candidate, LEAST_EXACT the Jaccard similarity of an edge's shingle sets.
+BINS, ROWS, SHINGLE, LEAST, LEAST_EXACT = 128, 3, 3, 0.45, 0.55
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -55,30 +57,53 @@ def densified(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text of each) of all shingles, repeats among them.  A text of fewer words than a shingle is one shingle."""
+    w = Words(texts)
+    h, doc = mix(w.hashes()), w.doc
+    if not len(h):
+        return h, doc
+    count = np.bincount(doc, minlength=len(texts))
+    first = np.cumsum(count) - count
+    place = np.arange(len(h)) - first[doc]
+    s = h.copy()
+    for j in range(1, shingle):
+        nxt = np.zeros_like(h)
+        nxt[:-j] = h[j:]
+        nxt[place + j >= count[doc]] = 0
+        s = mix(s * U64(0x9FB21C651E98DF25) + nxt)
+    use = (place + shingle <= count[doc]) | (place == 0)
+    return s[use], doc[use]
+
+
 def signatures(texts: pa.Array, bins: int = BINS, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """uint32 [n, bins], and whether the text has a word at all.  A text of fewer words than a shingle is one shingle."""
+    """uint32 [n, bins], and whether the text has a word at all."""
     n, shift = len(texts), U64(64 - int(bins).bit_length() + 1)
     sig = np.full((n, bins), EMPTY, dtype=np.uint32)
     for at, part in slices(texts):
-        w = Words(part)
-        h, doc = mix(w.hashes()), w.doc
-        if not len(h):
-            continue
-        count = np.bincount(doc, minlength=len(part))
-        first = np.cumsum(count) - count
-        place = np.arange(len(h)) - first[doc]
-        s = h.copy()
-        for j in range(1, shingle):
-            nxt = np.zeros_like(h)
-            nxt[:-j] = h[j:]
-            nxt[place + j >= count[doc]] = 0
-            s = mix(s * U64(0x9FB21C651E98DF25) + nxt)
-        use = (place + shingle <= count[doc]) | (place == 0)
-        s, d = s[use], doc[use]
+        s, d = shingles(part, shingle)
         np.minimum.at(sig.reshape(-1), (at + d) * bins + (s >> shift).astype(np.int64), (s & U64(0xFFFFFFFE)).astype(np.uint32) >> np.uint32(1))
     return densified(sig), (sig != EMPTY).any(axis=1)
 
 
+def jaccard(a: pa.Array, b: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of ``a[i]`` and ``b[i]``; 0 where neither has a word."""
+    out = np.zeros(len(a))
+    for at, part in slices(a):
+        for i, other in slices(b.slice(at, len(part))):
+            x, y = (_sets(t, shingle) for t in (part.slice(i, len(other)), other))
+            for j, (p, q) in enumerate(zip(x, y, strict=True)):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out[at + i + j] = both / max(1, len(p) + len(q) - both)
+    return out
+
+
+def _sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    s, doc = shingles(texts, shingle)
+    cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [np.unique(s[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """uint64 [n, bins // rows]: a hash of each band and its number."""
     bands = sig.shape[1] // rows
@@ -101,12 +126,17 @@ def _signed(df: DataFrame, id_col: str, text_col: str, bins: int, rows: int, shi
                     batch.column(0).take(pa.array(keep)),
                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(bins), len(keep), [None, pa.py_buffer(mix(sig.astype(U64)).astype(np.uint8))]).cast(pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))),
+                    batch.column(2).take(pa.array(keep)),
                 ],
-                names=["id", "sig", "bands"],
+                names=["id", "sig", "bands", "whole"],
             )
 
-    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return picked.mapInArrow(run, "id long, sig binary, bands array<long>")
+    picked = _texts(df, id_col, text_col).withColumn("whole", F.xxhash64("text"))
+    return picked.mapInArrow(run, "id long, sig binary, bands array<long>, whole long")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
 @F.arrow_udf(T.DoubleType())
@@ -126,13 +156,29 @@ def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def similar_edges(signed: DataFrame, least: float = LEAST) -> DataFrame:
-    """(id, center, similarity) of the stars' edges whose similarity is ``least`` or more; ``signed`` has id, sig, bands."""
+    """(id, center, similarity, same) of the stars' edges whose estimate is ``least`` or more, ``same`` for equal texts; ``signed`` has id, sig, bands, whole."""
     left = signed.select("id", F.explode("bands").alias("key"))
     centers = left.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("last > center").drop("last")
     stars = left.join(centers, "key").where("id > center").select("id", "center").distinct()
-    a, b = signed.select("id", F.col("sig").alias("sig_a")), signed.select(F.col("id").alias("center"), F.col("sig").alias("sig_b"))
-    scored = stars.join(a, "id").join(b, "center").select("id", "center", agreement("sig_a", "sig_b").alias("similarity"))
-    return scored.groupBy("id", "center").agg(F.max("similarity").alias("similarity")).where(F.col("similarity") >= least)
+    a, b = signed.select("id", F.col("sig").alias("sig_a"), F.col("whole").alias("whole_a")), signed.select(F.col("id").alias("center"), F.col("sig").alias("sig_b"), F.col("whole").alias("whole_b"))
+    scored = stars.join(a, "id").join(b, "center").select("id", "center", agreement("sig_a", "sig_b").alias("similarity"), (F.col("whole_a") == F.col("whole_b")).alias("same"))
+    return scored.groupBy("id", "center").agg(F.max("similarity").alias("similarity"), F.max("same").alias("same")).where(F.col("similarity") >= least)
+
+
+def confirmed(edges: DataFrame, texts: DataFrame, shingle: int = SHINGLE, least: float = LEAST_EXACT) -> DataFrame:
+    """(id, center) of the ``edges`` whose texts' shingle sets have a Jaccard similarity of ``least`` or more; ``texts`` has id, text.
+
+    Equal texts need no look; only those of the other edges are brought together.  An edge may come more than once.
+    """
+
+    @F.arrow_udf(T.DoubleType())
+    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(jaccard(as_strings(a), as_strings(b), shingle))
+
+    edges = checkpointed(edges.select("id", "center", "same"))
+    a, b = texts.select("id", F.col("text").alias("text_a")), texts.select(F.col("id").alias("center"), F.col("text").alias("text_b"))
+    looked = edges.where("not same").select("id", "center").join(a, "id").join(b, "center").where(exact("text_a", "text_b") >= least)
+    return edges.where("same").select("id", "center").unionByName(looked.select("id", "center"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,7 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots.select("id", F.col("id").alias("root")))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, rows: int = ROWS, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, rows: int = ROWS, shingle: int = SHINGLE, least: float = LEAST, least_exact: float = LEAST_EXACT) -> DataFrame:
     """(doc_id, group_id, kept): every document that has a near duplicate, with its group's least ``doc_id``.
 
     ``doc_id`` names a document: rows that repeat one are one document, as similar to another as the most similar
@@ -176,7 +222,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Other columns are not looked at.  An empty table gives no rows.
     """
     signed = checkpointed(_signed(df, id_col, text_col, bins, rows, shingle))
-    groups = components(similar_edges(signed, least))
+    groups = components(confirmed(similar_edges(signed, least), _texts(df, id_col, text_col), shingle, least_exact))
     return groups.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
 
 

@@ -268,6 +268,26 @@ def test_near_duplicates_against_all_pairs(spark, copies):
     assert all(close.get(tuple(sorted((i, g))), 0) > 0.2 for i, g in group.items() if i != g)
 
 
+def test_no_edge_stands_below_the_exact_similarity(spark):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        shared, tails = words(22), (words(12), words(12))
+        rows += [" ".join(shared + t) for t in tails]  # 20 of 44 shingles in common: 0.45
+        rows += [" ".join(shared + shared[:1] + t[:3]) for t in tails]  # 21 of 27: 0.78
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in map(str.split, rows)]
+    texts = pa.array(rows)
+    pairs = [(i, j) for k in range(0, len(rows), 4) for i, j in itertools.combinations(range(k, k + 4), 2)]
+    want = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs]
+    assert np.allclose(minhash.jaccard(texts.take([i for i, _ in pairs]), texts.take([j for _, j in pairs])), want)
+    # each pair by itself, so that nothing but its own edge can join it
+    far = [(2 * k + x, rows[4 * k + x]) for k in range(150) for x in (0, 1)]
+    near = [(2 * k + x, rows[4 * k + 2 + x]) for k in range(150) for x in (0, 1)]
+    groups = lambda rows: minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert groups(far) == 0 and groups(near) >= 0.95 * len(near)
+
+
 def test_components_are_union_find(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)]
