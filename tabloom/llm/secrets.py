@@ -1,7 +1,8 @@
 """Secret scan by token efficiency: text that a tokenizer has never seen costs it many tokens.
 
-Candidates are maximal runs of 16 or more of the characters that keys are made of, with a digit, with capitals
-after small letters, or all in capitals (for which the bound is stricter).  A byte-pair vocabulary packs words, names and paths into few tokens; a random string gets
+Candidates are maximal runs of 16 or more of the characters that keys are made of.  Runs without a digit or a capital
+after a small letter look like words: theirs is the stricter bound, unless a credential's name stands before, and it is
+held against the letters between their hyphens and slashes, which alone cut names into short tokens.  A byte-pair vocabulary packs words, names and paths into few tokens; a random string gets
 little more than its characters' pairs.  A candidate of fewer than 2.2 characters a token is reported, unless it is
 known: digests (hexadecimal of a digest's length) and UUIDs, plain numbers, and what the caller lists as known.
 A digest-like string right after a credential's name (``token = "..."``) is no known digest and is reported.
@@ -25,6 +26,8 @@ from tabloom.llm._text import as_strings, slices, utf8
 LEAST_LENGTH, MOST_RATIO = 16, 2.2
 #: For runs of capitals only: shouted words, too, are cut into short tokens.
 MOST_CAPITALS_RATIO = 1.7
+#: For other runs without a digit or a capital after a small letter, most of them words and names.
+MOST_PLAIN_RATIO = 1.8
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -35,6 +38,7 @@ UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]
 NUMBER = re.compile(r"[-+]?[0-9]+(?:[-/_+][0-9]+)*")
 LOOKS_RANDOM = re.compile(r"[0-9]|[a-z][A-Z]")
 CAPITALS = re.compile(r"[A-Z]+")
+LETTERS = re.compile(r"[A-Za-z]+")
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[\"']?\s*(?:[:=]|=>)?\s*[\"']?$")
 ASSIGNED = re.compile(r"(?i)^((?:[a-z_-]*(?:token|secret|passw(?:or)?d|pwd|key|auth|credential)[a-z_-]*)=)(.+)$")
 
@@ -83,7 +87,10 @@ def judged(run: str, before: str, known: frozenset[str], encoding, most_ratio: f
     if CAPITALS.fullmatch(text):
         most_ratio = min(most_ratio, MOST_CAPITALS_RATIO)
     elif not LOOKS_RANDOM.search(text):
-        return None
+        parts = LETTERS.findall(text)
+        letters = sum(map(len, parts))
+        if letters < (8 if named else 12) or letters >= (most_ratio if named else min(most_ratio, MOST_PLAIN_RATIO)) * sum(len(encoding.encode_ordinary(x)) for x in parts):
+            return None
     tokens = len(encoding.encode_ordinary(text))
     return (skip, len(text), tokens) if len(text) < most_ratio * tokens else None
 

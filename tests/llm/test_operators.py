@@ -422,6 +422,16 @@ def test_secrets_are_found_and_known_strings_are_not():
     assert secrets.judged("d41d8cd98f00b204e9800998ecf8427e", 'token = "', frozenset(), encoding, secrets.MOST_RATIO)
 
 
+def test_lower_case_secrets_are_found_and_words_are_not():
+    r, encoding = random.Random(13), secrets._encoding(secrets.VOCABULARY)
+    drawn = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hit = lambda run, before="": secrets.judged(run, before, frozenset(), encoding, secrets.MOST_RATIO) is not None
+    assert sum(hit(drawn(16), 'token = "') for _ in range(300)) > 0.95 * 300 and sum(hit("password=" + drawn(16)) for _ in range(300)) > 0.95 * 300
+    assert sum(hit(drawn(32)) for _ in range(300)) > 0.75 * 300 and sum(hit("-".join(drawn(4) for _ in range(4)), "password: ") for _ in range(300)) > 0.95 * 300
+    for known in ("internationalization", "/usr/local/share/dict/words", "read_the_whole_table_from_disk", "uncharacteristically", "state-of-the-art-methods", "n---------------------"):
+        assert not hit(known) and not hit(known, "key: ")
+
+
 def test_secret_spans(spark):
     key = "q9Zt7Xw2Lk4Vb8Nc3Mf6"
     rows = [(1, f"é😀 key {key} end"), (2, "nothing here"), (3, key)]
