@@ -5,6 +5,8 @@ after a small letter look like words: theirs is the stricter bound, unless a cre
 held against the letters between their hyphens and slashes, which alone cut names into short tokens.  A byte-pair vocabulary packs words, names and paths into few tokens; a random string gets
 little more than its characters' pairs.  A candidate of fewer than 2.2 characters a token is reported, unless it is
 known: digests (hexadecimal of a digest's length) and UUIDs, plain numbers, and what the caller lists as known.
+A candidate that passes as a whole may be a path or a name with a secret in it: stretches of it that cost many tokens
+are judged by themselves, up to the separators around them.
 A digest-like string right after a credential's name (``token = "..."``) is no known digest and is reported.
 """
 
@@ -39,6 +41,11 @@ NUMBER = re.compile(r"[-+]?[0-9]+(?:[-/_+][0-9]+)*")
 LOOKS_RANDOM = re.compile(r"[0-9]|[a-z][A-Z]")
 CAPITALS = re.compile(r"[A-Z]+")
 LETTERS = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Parts of a candidate that are no secret in whatever name or path they stand: UUIDs, digests, numbers.
+HARMLESS = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern.removeprefix('(?i)').replace('a-f', 'a-fA-F')}|{DIGEST.pattern}|[0-9]+)(?![A-Za-z0-9])")
+#: Tokens more than a readable text has that make a stretch, times MOST_RATIO; how far it may fall back within one.
+LEAST_EXCESS, MOST_FALL = 4.0, 8.0
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[\"']?\s*(?:[:=]|=>)?\s*[\"']?$")
 ASSIGNED = re.compile(r"(?i)^((?:[a-z_-]*(?:token|secret|passw(?:or)?d|pwd|key|auth|credential)[a-z_-]*)=)(.+)$")
 
@@ -95,6 +102,49 @@ def judged(run: str, before: str, known: frozenset[str], encoding, most_ratio: f
     return (skip, len(text), tokens) if len(text) < most_ratio * tokens else None
 
 
+def stretches(run: str, encoding, most_ratio: float) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the parts of ``run`` in which characters are short of ``most_ratio`` times the tokens by LEAST_EXCESS or more."""
+    harmless = np.zeros(len(run) + 1, dtype=bool)
+    for m in HARMLESS.finditer(run):
+        harmless[m.start() : m.end()] = not CREDENTIAL.search(run[max(0, m.start() - 32) : m.start()])
+    at = begin = end = 0
+    excess = most = 0.0
+    for size in [*(len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(run)), 0]:
+        known = size == 0 or bool(harmless[at : at + size].any())
+        excess += most_ratio - size
+        at += size
+        if excess > most and not known:
+            most, end = excess, at
+        elif known or excess <= 0 or most - excess > MOST_FALL:
+            if most >= LEAST_EXCESS:
+                yield begin, end
+            excess, most, begin = 0.0, 0.0, at
+
+
+def all_judged(run: str, before: str, known: frozenset[str], encoding, most_ratio: float) -> list[tuple[int, int, int]]:
+    """What ``judged`` says of the whole ``run`` or, if that is no secret, of its stretches."""
+    if whole := judged(run, before, known, encoding, most_ratio):
+        return [whole]
+    out, reached = [], 0
+    for b, e in stretches(run, encoding, most_ratio):
+        b, e = b + len(run[b:e]) - len(run[b:e].lstrip("=-_+/")), b + len(run[b:e].rstrip("=-_+/"))
+        left, right = b, e
+        while left > reached and PART.match(run[left - 1]):
+            left -= 1
+        while right < len(run) and PART.match(run[right]):
+            right += 1
+        for x, y in ((left, right), (b, e)):
+            text = run[x:y].rstrip("=-_+/")
+            if x < reached or text.lstrip("=-_+/") in known or max(map(len, PART.findall(text)), default=0) < 8:
+                continue
+            hit = judged(text, before if x == 0 else run[max(0, x - 32) : x], known, encoding, most_ratio)
+            if hit:
+                out.append((x + hit[0], *hit[1:]))
+                reached = y
+                break
+    return out
+
+
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tokens", T.IntegerType()), T.StructField("ratio", T.DoubleType())]))
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("ratio", pa.float64())]))
 
@@ -112,8 +162,7 @@ def secrets(text: Column, vocabulary: str = VOCABULARY, most_ratio: float = MOST
                 starts = (data & 0xC0) != 0x80
                 for doc, b, e in candidates(data, offsets):
                     low = max(int(offsets[doc]), b - 32)
-                    hit = judged(data[b:e].tobytes().decode(), data[low:b].tobytes().decode("utf-8", "ignore"), known, encoding, most_ratio)
-                    if hit:
+                    for hit in all_judged(data[b:e].tobytes().decode(), data[low:b].tobytes().decode("utf-8", "ignore"), known, encoding, most_ratio):
                         first = int(np.count_nonzero(starts[offsets[doc] : b])) + hit[0]
                         out[at + doc].append({"start": first, "end": first + hit[1], "tokens": hit[2], "ratio": round(hit[1] / hit[2], 6)})
             yield pa.array(out, _ARROW)

@@ -432,6 +432,24 @@ def test_lower_case_secrets_are_found_and_words_are_not():
         assert not hit(known) and not hit(known, "key: ")
 
 
+def test_secrets_within_paths_and_names_are_found_alone():
+    r, encoding = random.Random(14), secrets._encoding(secrets.VOCABULARY)
+    drawn = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    parts = lambda run: [run[b : b + n] for b, n, _ in secrets.all_judged(run, "", frozenset(), encoding, secrets.MOST_RATIO)]
+    for before in ("/documents/shared/internal/project-management/reports/", "github/workflows/deploy/production/environment/", "connection_string_for_production="):
+        for after in ("", "/documents/shared/internal/reports/summary"):
+            right = 0
+            for n in [20, 24, 32] * 40:
+                key = drawn(n)
+                found = parts(before + key + after)
+                right += len(found) == 1 and key in found[0]
+            assert right > 0.95 * 120
+    one, two = drawn(24), drawn(24)
+    assert parts(f"/documents/shared/internal/management/{one}/documents/shared/internal/project/management/reports/{two}/documents/shared/internal/management") == [one, two]
+    for clean in ("/usr/local/share/dict/words", "archive/2024/01/02/internal/documents/12345678901234567890", "/shared/internal/documents/d41d8cd98f00b204e9800998ecf8427e/management/documents/reports", "/documents/internal/project/management/123e4567-e89b-12d3-a456-426614174000/shared/internal/documents/reports"):
+        assert parts(clean) == []
+
+
 def test_secret_spans(spark):
     key = "q9Zt7Xw2Lk4Vb8Nc3Mf6"
     rows = [(1, f"é😀 key {key} end"), (2, "nothing here"), (3, key)]
