@@ -2,8 +2,8 @@
 
 The text is read as islands: neighbouring white-space tokens that hold a digit or an ``@`` (no entity type here
 lacks both, so everything outside is certain).  An island's units are runs of letters, runs of digits and single
-other characters.  A segmentation covers the units by entities of at most ``LONGEST`` units and by single outside
-units; features look at a candidate's whole span at once (its shape, check digits, what stands right before and
+other characters.  A segmentation covers the units by entities of at most ``LONGEST`` characters of their type and by single
+outside units; features look at a candidate's whole span at once (its shape, check digits, what stands right before and
 after it, the word before), which a field over single tokens cannot.  Bounded dynamic programming finds the best
 segmentation, choosing boundaries and types together; the same recursion in sums gives the gradient in training.
 
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from tabloom.llm._text import SPACE, as_strings, slices, utf8
 
 TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
-LONGEST = 26
+#: Characters of the longest permitted entity of each type; all but EMAIL are bounded by their shapes as well.
+LONGEST = (254, 44, 15, 23, 11, 42)
 
 UNIT = re.compile(r"[^\W\d_]+|\d+|.", re.S)
 EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}")
@@ -78,13 +79,18 @@ class Island:
         self.candidates: list[tuple[int, int, int, np.ndarray]] = []
         self.outside = [1.0 if text[b].isdigit() else 0.5 if text[b] == "@" else 0.0 for b, _ in self.bounds]
         cue = word_before.rstrip(":").rsplit(None, 1)[-1] if word_before.strip() else ""
+        at = -1  # of the next @
         for b, i in begins.items():
             if not (text[b].isalnum() or text[b] in "+(_"):
                 continue
-            limit = self.bounds[min(len(self.bounds), i + LONGEST) - 1][1]
+            if at < b:
+                at = text.find("@", b)
+                at = len(text) + LONGEST[0] if at < 0 else at
             for kind, shape in enumerate(SHAPES):
+                if kind == 0 and at - b >= LONGEST[0]:
+                    continue
                 # every end at which the shape matches, the longest and each shorter one
-                stop = limit
+                stop = min(len(text), b + LONGEST[kind])
                 while (m := shape.match(text, b, stop)) and m.end() > b:
                     e = m.end()
                     if e in ends:

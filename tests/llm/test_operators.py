@@ -217,6 +217,15 @@ def test_offsets_count_characters_and_clean_text_stays():
     assert got[0] == [(8, 17, 0)] and got[1] == [] and [k for _, _, k in got[2]] == [3]
 
 
+def test_addresses_of_many_units_are_read_whole():
+    r = random.Random(15)
+    local = lambda n: "".join(r.choice("abcdef") + r.choice("0123456789") for _ in range(n // 2))
+    whole = ["reply+a1b2c3d4e5f6a7b8c9d0e1f2@reply.github.com", *(f"{local(n)}@{host}" for n in (28, 40, 64) for host in ("mail.example.org", "a1.b2.c3.d4.e5.example.com"))]
+    whole.append(local(230) + "@" + "mail.example.organization"[: 254 - 231])
+    got = pii.spans(pa.array([f"write to {x} now" for x in whole]), pii.trained())
+    assert len(whole[-1]) == 254 and got == [[(9, 9 + len(x), 0)] for x in whole]
+
+
 # ---- 6 MinHash ---------------------------------------------------------------------------------------------------------
 
 
