@@ -1,7 +1,7 @@
 """Personal data: a semi-Markov conditional random field over spans.
 
-The text is read as islands: neighbouring white-space tokens that hold a digit or an ``@`` (no entity type here
-lacks both, so everything outside is certain).  An island's units are runs of letters, runs of digits and single
+The text is read as islands: neighbouring white-space tokens that hold a digit or an ``@``, or belong to an IBAN in
+groups whose check digits are right (no entity type here lacks them all, so everything outside is certain).  An island's units are runs of letters, runs of digits and single
 other characters.  A segmentation covers the units by entities of at most ``LONGEST`` characters of their type and by single
 outside units; features look at a candidate's whole span at once (its shape, check digits, what stands right before and
 after it, the word before), which a field over single tokens cannot.  Bounded dynamic programming finds the best
@@ -188,8 +188,11 @@ def examples(count: int, seed: int) -> list[tuple[str, str, list[tuple[int, int,
     def iban() -> str:
         bban = num(r.choice((14, 16, 18)))
         c = r.choice(("DE", "FR", "ES", "NL", "GB"))
-        check = 98 - int(bban + "".join(str(int(x, 36)) for x in c) + "00") % 97
-        return f"{c}{check:02d}{bban}"
+        if r.random() < 0.4:
+            bban = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) + bban[4:]
+        check = 98 - int("".join(str(int(x, 36)) for x in bban + c) + "00") % 97
+        s = f"{c}{check:02d}{bban}"
+        return s if r.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
     def phone() -> str:
         a, b, c = str(r.randint(200, 999)), num(3), num(4)
@@ -251,8 +254,29 @@ TRIGGER = np.zeros(256, dtype=bool)
 TRIGGER[[*range(48, 58), 64]] = True
 
 
+CAPITAL, DIGIT = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"))
+IBAN_BYTES = re.compile(IBAN.pattern.encode())
+
+
+def _lettered(data: np.ndarray, offsets: np.ndarray, triggers: np.ndarray) -> np.ndarray:
+    """Where, in bytes, letters stand that belong to an IBAN in groups with right check digits."""
+    at, out = triggers[(triggers >= 2) & (triggers + 2 < len(data))], []
+    at = at[CAPITAL[data[at - 2]] & CAPITAL[data[at - 1]] & DIGIT[data[at]] & DIGIT[data[at + 1]] & (data[at + 2] == 32)]
+    for b in (at - 2).tolist():
+        doc = int(np.searchsorted(offsets, b, side="right"))
+        if b > offsets[doc - 1] and (CAPITAL | DIGIT)[data[b - 1]]:
+            continue
+        text, stop = data[b : min(b + LONGEST[5], int(offsets[doc]))].tobytes(), LONGEST[5]
+        # the longest that adds up, as in Island
+        while (m := IBAN_BYTES.match(text, 0, stop)) and not _checked(5, m[0].decode()):
+            stop = m.end() - 1
+        if m:
+            out += [b + x.start() for x in re.finditer(rb"[A-Z]+", m[0])]
+    return np.array(out, dtype=np.int64)
+
+
 def islands(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, begin, end) in bytes: neighbouring tokens with a digit or an @, one space apart."""
+    """(text, begin, end) in bytes: neighbouring tokens with a digit, an @ or letters of an IBAN, one space apart."""
     if not TRIGGER[data].any():
         return
     inside = ~SPACE[data]
@@ -261,7 +285,10 @@ def islands(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, i
     cuts = offsets[1:-1]
     before[cuts[cuts < len(data)]] = False
     starts = np.flatnonzero(inside & ~before)
-    token = np.searchsorted(starts, np.flatnonzero(TRIGGER[data]), side="right") - 1
+    triggers = np.flatnonzero(TRIGGER[data])
+    if len(letters := _lettered(data, offsets, triggers)):
+        triggers = np.union1d(triggers, letters)
+    token = np.searchsorted(starts, triggers, side="right") - 1
     token = token[np.r_[True, token[1:] != token[:-1]]]
     b = starts[token]
     stops = np.flatnonzero(~inside)

@@ -226,6 +226,16 @@ def test_addresses_of_many_units_are_read_whole():
     assert len(whole[-1]) == 254 and got == [[(9, 9 + len(x), 0)] for x in whole]
 
 
+def test_ibans_in_groups_with_letters_are_read_whole():
+    whole = ["GB29 NWBK 6016 1331 9268 19", "NL91 ABNA 0417 1643 00", "IE29 AIBK 9311 5212 3456 78", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MU17 BOMM 0101 1010 3030 0200 000M UR", "DE89 3704 0044 0532 0130 00"]
+    texts = [f"{before}{x}{after}" for x in whole for before in ("", "Please pay to ", "é IBAN: ") for after in ("", ".", " until Friday")]
+    got = pii.spans(pa.array(texts), pii.trained())
+    assert [[(t[b:e], k) for b, e, k in s] for t, s in zip(texts, got, strict=True)] == [[(x, 5)] for x in whole for _ in range(9)]
+    # no more is taken in for a group that only looks like one, nor across texts
+    plain = ["flight AB12 THEN gate", "GB29 NWBK", "6016 1331 9268 19"]
+    assert all(k != 5 for s in pii.spans(pa.array(plain), pii.trained()) for _, _, k in s)
+
+
 # ---- 6 MinHash ---------------------------------------------------------------------------------------------------------
 
 
