@@ -31,6 +31,8 @@ SAMPLE_ROWS = 300
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[^<>]*>|[^<]+|<", re.S)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg".split())
+#: Pages in which any element may close itself; in others, of RAW, only svg may.
+XHTML = re.compile(r"\s*(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)*<!doctype[^>]*\bxhtml\b", re.I | re.S)
 BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 LABELS = frozenset(["article", "main"])
@@ -77,7 +79,7 @@ def parsed(html: str) -> Page:
         children.append(0)
         return len(page.parent) - 1
 
-    at, n = 0, len(html)
+    at, n, xhtml = 0, len(html), bool(XHTML.match(html))
     while at < n:
         m = TOKEN.match(html, at)
         at = m.end()
@@ -96,6 +98,8 @@ def parsed(html: str) -> Page:
                 pop()
             continue
         if name in RAW:
+            if m[0].endswith("/>") and (xhtml or name == "svg"):
+                continue
             end = re.compile(f"</{name}\\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue

@@ -144,6 +144,15 @@ def test_content_of_held_out_pages(spark):
     assert np.mean(p == forest.label[forest.text]) > 0.95
 
 
+def test_self_closed_elements_do_not_swallow_the_page():
+    texts = lambda page: [t for t in html.parsed(page).text if t]
+    assert texts('<p>one</p><svg class="i"/><p>two</p>') == ["one", "two"]
+    assert texts('<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>') == ["one", "two", "three"]
+    strict = '<?xml version="1.0"?>\n<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "xhtml1-strict.dtd">'
+    assert texts(strict + '<html><head><title/><script src="a.js"/></head><body><p>one</p></body></html>') == ["one"]
+    assert texts('<!doctype html><script src="a.js"/><p>no</p></script><p>one</p>') == ["one"]
+
+
 # ---- 4 toxicity --------------------------------------------------------------------------------------------------------
 
 
