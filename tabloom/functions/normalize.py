@@ -132,6 +132,12 @@ def raw_offsets(toks: Column, *positions: Column) -> Column:
     return _offsets(toks, _folded_size, _is_entity, positions)
 
 
+def token_offsets(t: Column, raw: Column) -> Column:
+    """Where each folded character of the token ``t``, which begins at ``raw``, comes from in the raw text."""
+    size = _folded_size(t)
+    return F.when(size == 0, F.array().cast("array<bigint>")).when(_is_entity(t), F.array_repeat(raw, size)).otherwise(F.sequence(raw, raw + size - 1))
+
+
 def legacy_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LEGACY_TOKEN), F.lit(0))
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.normalize import folded_text, legacy_body, legacy_folded_text, raw_offsets, token_kind, tokens
+from tabloom.functions.normalize import folded_text, legacy_body, legacy_folded_text, raw_offsets, token_kind, token_offsets, tokens
 from tabloom.functions.peers import peer_contents
 from tabloom.operators.legacy import legacy_bodies, with_legacy_segments
 from tabloom.operators.locate import candidate_windows, exact_start
@@ -220,9 +220,26 @@ def q24_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.get_json_object("value", "$.page_id").cast("long").alias("page_id"), "line_no", "record_index")
 
 
+
+def offset_maps(pages: DataFrame) -> DataFrame:
+    """(page_id, offsets): where every folded character of ``ctt`` comes from, by prefix sums over its tokens."""
+    toks = pages.select("page_id", F.posexplode(tokens(F.col("ctt"))).alias("i", "t"))
+    raw = F.sum(F.length("t")).over(Window.partitionBy("page_id").orderBy("i")) - F.length("t")
+    runs = toks.select("page_id", "i", token_offsets(F.col("t"), raw).alias("at")).where(F.size("at") > 0)
+    return runs.groupBy("page_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "at"))), lambda x: x["at"])).alias("offsets"))
+
+
+def q25_whole_offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every folded character of every page comes from: how many, their sum and a digest of all, in order."""
+    whole = offset_maps(page_peers(spark, sf_dir).select("page_id", "ctt"))
+    total = F.aggregate("offsets", F.lit(0).cast("long"), lambda x, y: x + y)
+    return whole.select("page_id", F.size("offsets").cast("long").alias("chars"), total.alias("total"), F.md5(F.array_join(F.col("offsets").cast("array<string>"), ",")).alias("digest"))
+
+
 _BY_NAME: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     q01_tokenize, q02_normalize_text, q03_offset_map, q04_peer_contents_json, q05_split_header_body, q06_locate_exact, q07_full_span, q08_body_span, q09_extracted_table, q10_flat_metrics_exact, q11_unmatched, q12_segments,
     q13_segments_lossless, q14_overlaps, q15_summary, q16_candidate_windows, q17_doc_passages, q18_fuzzy_metrics, q19_loose_parse, q20_legacy_normalize, q21_legacy_spans, q22_legacy_segments, q23_legacy_fuzzy, q24_line_numbers,
+    q25_whole_offset_map,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _BY_NAME}
 
@@ -310,4 +327,8 @@ SELECT page_id, CAST(length(n) AS BIGINT) AS chars, md5(n) AS digest, body FROM
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS seq, CAST(type AS INTEGER) AS type, md5(t) AS digest FROM s""",
     "q24_line_numbers": """SELECT page_id, CAST(r + coalesce(sum(blank) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no, CAST(r - 1 AS BIGINT) AS record_index
 FROM (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r, CASE WHEN page_id % 7 = 0 THEN 1 ELSE 0 END AS blank FROM pages)""",
+    "q25_whole_offset_map": f"""WITH {_PEERS}, {_PLACES},
+c AS (SELECT page_id, i, CASE WHEN one THEN list_transform(range(CAST(size AS BIGINT)), lambda x: CAST(r0 AS BIGINT)) ELSE range(CAST(r0 AS BIGINT), CAST(r0 + size AS BIGINT)) END AS l FROM o WHERE size > 0),
+w AS (SELECT page_id, flatten(list(l ORDER BY i)) AS a FROM c GROUP BY page_id)
+SELECT page_id, CAST(len(a) AS BIGINT) AS chars, CAST(list_sum(a) AS BIGINT) AS total, md5(array_to_string(a, ',')) AS digest FROM w""",
 }

@@ -155,3 +155,13 @@ def test_contents_by_expressions(spark):
     real = [('[[{"content":"x"}]]', []), ('[1,{"content":"z"}]', ["z"]), ('{"content":"solo"}', ["solo"]), ("5", []), ("null", [])]
     df = spark.createDataFrame([(i, j) for i, (j, _) in enumerate(real)], "i int, j string").withColumn("v", F.parse_json("j"))
     assert {r["i"]: r["c"] for r in df.select("i", peer_contents(F.col("v"), df.schema["v"].dataType).alias("c")).collect()} == {i: c for i, (_, c) in enumerate(real)}
+
+
+def test_whole_offset_maps_are_those_of_the_rules(spark):
+    from tabloom.plans import catalog
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    pages |= {-1: "<b>A &amp; b</b> x<br>y &copy;&nbsp;Z", -2: "", -3: "<p></p>"}
+    df = spark.createDataFrame(list(pages.items()), "page_id long, ctt string")
+    got = {r["page_id"]: r["offsets"] for r in catalog.offset_maps(df).collect()}
+    assert got == {i: pytext.folded(t).offsets for i, t in pages.items() if pytext.folded(t).offsets}
