@@ -288,16 +288,19 @@ def decoded(ids: Column, model: str = MODEL) -> Column:
     return run(ids)
 
 
-def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rules: str | None = RULES) -> DataFrame:
+def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, rules: str | None = RULES, decode: bool = False) -> DataFrame:
     """(doc_id, ids, begins, ends), one row for each of ``df``: the pieces and their spans in bytes of the source.
 
+    With ``decode`` the text that the pieces spell is one more column, as ``decoded`` gives it but slice by slice.
     ``rules`` names a map of the library (``nfkc`` keeps line feeds); None takes the model's own.  Null texts have
     null lists, empty ones empty lists; repeated rows and null ids stay; other columns are not looked at.  Batches
     go out as small as they are worked on, so the memory needed does not grow with the rows of a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(encoder(model, rules))
+        import sentencepiece
+
+        memory, core = _Memory(encoder(model, rules)), sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             for at, part in slices(as_strings(column)):
@@ -305,7 +308,11 @@ def tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 null = column.slice(at, len(part)).is_null()
                 fields = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32()), mask=null) for x in lists]
-                yield pa.RecordBatch.from_arrays([keys.slice(at, len(part)), *fields], names=["doc_id", "ids", "begins", "ends"])
+                names = ["doc_id", "ids", "begins", "ends"]
+                if decode:
+                    fields.append(pa.array([None if x is None else core.decode(x) if x else "" for x in (y.as_py() for y in fields[0])], pa.string()))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays([keys.slice(at, len(part)), *fields], names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>" + ", decoded string" * decode)

@@ -48,7 +48,8 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.tokens(_table(spark, sf_dir, "documents"))
+    """Encoding, and decoding what was encoded."""
+    return pieces.tokens(_table(spark, sf_dir, "documents"), decode=True)
 
 
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,6 +394,11 @@ def test_ids_are_the_library_s_and_decode_to_the_normal_text(spark):
         assert r["back"] == library.decode(r["ids"])
 
 
+def test_the_query_also_decodes(spark):
+    library, rows = _library(), queries.op8_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["decoded"] == library.decode(r["ids"]) for r in rows) and any(r["decoded"] for r in rows)
+
+
 def test_spans_cover_the_bytes_they_came_from(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     for r in pieces.tokens(df).collect():
