@@ -7,13 +7,21 @@ from pyspark.sql import functions as F
 
 
 def bounded_sample(df: DataFrame, id_col: str, rows: int, seed: int = 17) -> DataFrame:
-    """``rows`` rows at most, those whose id has the least hash: the same ones on every run, whatever the partitions.
+    """``rows`` rows of ``df`` at most: one for each of the ``rows`` ids of least hash, of rows that repeat an id the least.
 
-    Only ids that can be among them are sorted: of a large table a hash range that holds four times as many is cut
-    out first, so what the tasks send does not grow with the table.  ``df`` should be narrow; join the rest to it.
+    Null ids are not drawn.  The same rows come out on every run, whatever the partitions, and no part of it depends on
+    how large the table is: the distinct ids are counted by 65536 ranges of their hash, and only those up to the range
+    in which the last wanted one lies are sorted.  Rows are compared by their columns in order, so these must be sortable.
     """
-    order = F.xxhash64(F.col(id_col), F.lit(seed))
-    n = df.count()
-    if n > 8 * rows:
-        df = df.where(order < F.lit(int(-(2**63) + 2**64 * (4 * rows / n))))
-    return df.orderBy(order, *[F.col(c) for c in df.columns]).limit(rows)
+    key, order = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed))
+    ids = df.select(key.alias("__id"), order.alias("__order")).where("__id is not null").distinct()
+    part = F.shiftright("__order", 48)
+    reached, last = 0, None
+    for r in sorted(ids.groupBy(part.alias("part")).count().collect()):  # 65536 rows at most
+        if reached >= rows:
+            break
+        reached, last = reached + r["count"], r["part"]
+    picked = ids.where(part <= F.lit(last)).orderBy("__order", "__id").limit(rows).select("__id")
+    found = df.join(F.broadcast(picked), key == F.col("__id"), "left_semi")
+    least = found.groupBy(key.alias("__id")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("__row"))
+    return least.select("__row.*")

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm._sample import bounded_sample
-from tabloom.llm._text import as_strings
+from tabloom.llm._text import as_strings, slices
 
 #: Labelled pages that the model is trained on, at most.
 SAMPLE_ROWS = 300
+#: Characters of a page that the model may be trained on; longer ones are read like all others.
+SAMPLE_CHARS = 500_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<[^<>]*>|[^<]+|<", re.S)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg".split())
@@ -218,11 +220,14 @@ def train(pages: list[Page], steps: int = 150) -> Model:
     return Model(weights, couple)
 
 
-def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_ROWS) -> Model:
-    """Trained on ``rows`` pages at most, those of least hashed id among the pages that mark their content."""
-    pages = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("id is not null").where(F.col("html").rlike("(?i)<(article|main)\\b"))
-    picked = F.broadcast(bounded_sample(pages.select("id"), "id", rows).distinct())  # of a fixed bound
-    return train([parsed(h) for h in sorted(r["html"] for r in pages.join(picked, "id").collect())])
+def fit(df: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Model:
+    """Trained on ``rows`` pages at most, those of least hashed id among the pages that mark their content.
+
+    An id counts once, with its least page.  Null ids and pages, and pages of more than ``most_chars`` characters, are
+    not used, so what the driver gets is bounded.  Without any page all is content as likely as not.
+    """
+    pages = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where("id is not null").where(F.length("html") <= most_chars).where(F.col("html").rlike("(?i)<(article|main)\\b"))
+    return train([parsed(h) for h in sorted(r["html"] for r in bounded_sample(pages, "id", rows).collect())])
 
 
 def extracted_texts(pages: list[Page], p: np.ndarray, first: np.ndarray) -> list[tuple[str, int, int, float]]:
@@ -259,8 +264,8 @@ def content(model: Model, html: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             texts, rows = as_strings(column), []
-            for i in range(0, len(texts), 256):
-                pages = [parsed(h) for h in texts[i : i + 256].to_pylist()]
+            for _, part in slices(texts):
+                pages = [parsed(h) for h in part.to_pylist()]
                 forest = Forest(pages)
                 rows += extracted_texts(pages, model.content(forest), forest.first)
             cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]

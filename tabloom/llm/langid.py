@@ -2,7 +2,7 @@
 
 Two texts are as close as the number of distinct character 1-, 2- and 3-grams they share (each length counts, hence
 blended; presence only, so the length of a text does not matter), divided by the geometric mean of what each shares
-with itself.  The alphabet is the sample's most frequent characters in lower case; all others fold into one class,
+with itself.  The alphabet is every character of the sample in lower case; those it never showed fold into one class,
 so the grams have exact numbers and nothing is hashed.  Landmark texts span the Nystroem space; one ridge regression
 for each language is solved there.  As the kernel is linear in the presence vectors, the landmarks fold into one
 matrix of grams by languages, and a batch is scored by one matrix product.
@@ -11,7 +11,6 @@ matrix of grams by languages, and a batch is scored by one matrix product.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,37 +23,46 @@ from pyspark.sql import types as T
 from tabloom.llm._sample import bounded_sample
 from tabloom.llm._text import as_strings
 
-LETTERS = 47
 LANDMARKS = 192
 #: Rows of labelled text that the regression is fitted on, at most.
 SAMPLE_ROWS = 1600
+#: Characters of a text that the regression may be fitted on; longer ones are scored like all others.
+SAMPLE_CHARS = 100_000
 RIDGE = 1e-3
 
 
-def alphabet_of(texts: list[str], letters: int = LETTERS) -> np.ndarray:
-    """Code point -> class, for the whole of Unicode: 0 for all but the ``letters`` most frequent characters."""
-    counts: Counter[str] = Counter()
-    for t in texts:
-        counts.update(t.lower())
-    table = np.zeros(0x110000, np.uint8)
-    for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[:letters]):
+def alphabet_of(texts: list[str]) -> np.ndarray:
+    """Code point -> class, for the whole of Unicode: every character of the texts in lower case has one, others have 0.
+
+    A capital has its small letter's.
+    """
+    table = np.zeros(0x110000, np.int32)
+    for i, c in enumerate(sorted(set().union(*(t.lower() for t in texts)))):
         table[ord(c)] = i + 1
         if len(c.upper()) == 1 and c.upper().lower() == c:
             table[ord(c.upper())] = i + 1
     return table
 
 
-def presence(texts: list[str], table: np.ndarray, letters: int = LETTERS) -> np.ndarray:
-    """uint8 [texts, grams]: which of the 1-, 2- and 3-grams over the folded alphabet occur in each whole text."""
-    a = letters + 1
-    out = np.zeros((len(texts), a + a * a + a**3), np.uint8)
-    for row, text in zip(out, texts, strict=True):
-        c = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-        row[c] = 1
-        two = c[:-1] * a + c[1:]
-        row[a + two] = 1
-        row[a + a * a + two[:-1] * a + c[2:]] = 1
-    return out
+def grams(text: str, table: np.ndarray) -> np.ndarray:
+    """The numbers of the 1-, 2- and 3-grams over the folded alphabet that occur in the whole text, in order.
+
+    A gram's number is exact: its characters' classes are the digits, and each length has a range of its own.
+    """
+    a = np.int64(int(table.max()) + 1)
+    c = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    two = c[:-1] * a + c[1:]
+    return np.unique(np.concatenate([c, a + two, a + a * a + two[:-1] * a + c[2:]]))
+
+
+def presence(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """float32 [sets, columns]: which of ``columns`` each set has; and the root of each set's size, at least 1."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    if len(columns):
+        for row, s in zip(out, sets, strict=True):
+            at = np.searchsorted(columns, s)
+            row[at[columns[np.minimum(at, len(columns) - 1)] == s]] = 1
+    return out, np.sqrt([max(1.0, len(s)) for s in sets])
 
 
 @dataclass(frozen=True)
@@ -68,16 +76,15 @@ class Classifier:
     bias: np.ndarray
 
     def table(self) -> np.ndarray:
-        t = np.zeros(0x110000, np.uint8)
+        t = np.zeros(0x110000, np.int32)
         t[list(self.alphabet)] = list(self.alphabet.values())
         return t
 
     def scores(self, texts: list[str], table: np.ndarray, batch: int = 32) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)), np.float32)
         for i in range(0, len(texts), batch):
-            p = presence(texts[i : i + batch], table)
-            size = np.sqrt(np.maximum(1, p.sum(axis=1, dtype=np.int32)))[:, None]
-            out[i : i + batch] = (p[:, self.columns].astype(np.float32) @ self.weights) / size
+            p, size = presence([grams(t, table) for t in texts[i : i + batch]], self.columns)
+            out[i : i + batch] = (p @ self.weights) / size[:, None]
         return out + self.bias
 
 
@@ -87,15 +94,13 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
     table = alphabet_of(texts)
     if not texts:
         return Classifier((), {}, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    marks = presence(texts[:landmarks], table)
-    columns = np.flatnonzero(marks.any(axis=0))
-    self_marks = np.maximum(1, marks.sum(axis=1, dtype=np.float64))
-    marks_c = marks[:, columns].astype(np.float32)
+    sets = [grams(t, table) for t in texts]
+    columns = np.unique(np.concatenate(sets[:landmarks]))
+    marks_c, self_marks = presence(sets[:landmarks], columns)
     k_nm = np.zeros((len(texts), len(marks_c)))
     for i in range(0, len(texts), 32):
-        p = presence(texts[i : i + 32], table)
-        size = np.sqrt(np.maximum(1, p.sum(axis=1, dtype=np.float64)))
-        k_nm[i : i + 32] = (p[:, columns].astype(np.float32) @ marks_c.T) / size[:, None] / np.sqrt(self_marks)
+        p, size = presence(sets[i : i + 32], columns)
+        k_nm[i : i + 32] = (p @ marks_c.T) / size[:, None] / self_marks
     values, vectors = np.linalg.eigh(k_nm[: len(marks_c)])
     keep = values > 1e-6 * max(1.0, values.max())
     half = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2) on its range
@@ -103,21 +108,21 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
     y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     mean = y.mean(axis=0)
     solved = np.linalg.solve(phi.T @ phi + ridge * len(texts) * np.eye(phi.shape[1]), phi.T @ (y - mean))
-    weights = marks_c.T.astype(np.float64) @ ((half @ solved) / np.sqrt(self_marks)[:, None])
+    weights = marks_c.T.astype(np.float64) @ ((half @ solved) / self_marks[:, None])
     used = np.flatnonzero(table)
     return Classifier(names, {int(c): int(table[c]) for c in used}, columns, weights.astype(np.float32), mean.astype(np.float32))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fitted on ``rows`` labelled rows at most (those of least hashed id), whole texts each.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> Classifier:
+    """Fitted on ``rows`` labelled ids at most (those of least hash), one row and its whole text each.
 
-    Rows with a null id or language and null or empty texts are not used.  Without any row the classifier knows no
+    Rows with a null id or language and null or empty texts are not used, nor texts of more than ``most_chars``
+    characters, so what the driver gets is bounded.  Without any row the classifier knows no
     language and answers null.
     """
-    rows_ = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and length(text) > 0")
-    # the sample has a fixed bound, so its ids may go to every executor
-    picked = F.broadcast(bounded_sample(rows_.select("id"), "id", rows).distinct())
-    sample = sorted(rows_.join(picked, "id").collect(), key=lambda r: (hashlib.md5(r["text"].encode()).digest(), r["lang"]))
+    known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = bounded_sample(known.where("id is not null and lang is not null").where(F.length("text").between(1, most_chars)), "id", rows).collect()
+    sample.sort(key=lambda r: (hashlib.md5(r["text"].encode()).digest(), r["lang"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
@@ -152,5 +157,9 @@ def language(model: Classifier, text: Column) -> Column:
 
 
 def identified(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, language, score, margin), one row for each of ``df``; other columns are not looked at."""
+    """(doc_id, language, score, margin), one row for each of ``df``; other columns are not looked at.
+
+    Repeated rows get equal answers, null ids stay, null and empty texts get nulls, an empty table gives no rows.  A very
+    long text is read whole; its memory grows with its length.
+    """
     return df.select(F.col(id_col).alias("doc_id"), language(model, F.col(text_col)).alias("x")).select("doc_id", "x.*")

@@ -25,8 +25,8 @@ BITS = 20
 PREFIXES = (4, 5, 6)
 #: Rows of labelled text that the machine is fitted on, at most.
 SAMPLE_ROWS = 6000
-#: Below this G^2 (p = 1e-6) an association may be chance; LEAST_FEATURES are kept all the same, MOST_FEATURES at most.
-SIGNIFICANT, LEAST_FEATURES, MOST_FEATURES = 24.0, 128, 2048
+#: Below this G^2 (p = 1e-6) an association may be chance; LEAST_FEATURES are kept all the same.
+SIGNIFICANT, LEAST_FEATURES = 24.0, 128
 THRESHOLD = 0.5
 #: Share of a text's terms that a training step sees.
 KEEP_TERMS = 0.8
@@ -103,13 +103,13 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int
     there = np.flatnonzero(seen >= 2)
     g = _g2(with_label[there], seen[there] - with_label[there], positive, n - positive)
     order = np.lexsort((there, -seen[there], -g))
-    keep = int(np.clip((g > SIGNIFICANT).sum(), LEAST_FEATURES, MOST_FEATURES))
+    keep = max(int((g > SIGNIFICANT).sum()), LEAST_FEATURES)
     kept = np.sort(there[order[:keep]])
     table = np.full(1 << BITS, -1, np.int32)
     table[kept] = np.arange(len(kept))
-    x = np.zeros((n, len(kept)), np.float32)
     f = table[bucket]
-    x[doc[f >= 0], f[f >= 0]] = 1
+    doc, f = doc[f >= 0], f[f >= 0]
+    first = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w0, w, v = np.array([np.log(positive / (n - positive))]), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), rank))
     weight = np.where(y == 1, min(10.0, (n - positive) / positive) ** 0.5, 1.0)
@@ -118,7 +118,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(n), max(1, n // size)):
             # of a text's terms some are left out each time, so that each insult counts without the others, too
-            xb = x[part] * (rng.random((len(part), x.shape[1])) < keep_terms)
+            xb = np.zeros((len(part), len(kept)), np.float32)
+            for row, i in zip(xb, part, strict=True):
+                row[f[first[i] : first[i + 1]]] = 1
+            xb *= rng.random(xb.shape) < keep_terms
             xv = xb @ v
             z = w0[0] + xb @ w + ((xv**2).sum(1) - xb @ (v**2).sum(1)) / 2
             err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[part]) * weight[part] / len(part)
@@ -133,10 +136,10 @@ def train(rows: list[np.ndarray], labels: np.ndarray, rank: int = 8, epochs: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fitted on ``rows`` labelled texts at most (those of least hashed id), whole texts each.
+    """Fitted on ``rows`` labelled ids at most (those of least hash), whole texts each.
 
-    Rows with a null id or label and null texts are not used.  The texts stay on the executors, which send only
-    their hashed terms.
+    Rows with a null id or label and null texts are not used.  An id counts once: of contradicting labels the least
+    is believed, of several texts the least read.  The texts stay on the executors, which send only their hashed terms.
     """
     picked = bounded_sample(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null"), "id", rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
@@ -150,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str
                 found += np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(pairs >> BITS, np.arange(1, len(part))))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([x for x in found], pa.list_(pa.int32()))], names=["y", "buckets"])
 
-    # the sample has a fixed bound, so it may go to every executor
-    labelled = texts.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(terms, "y int, buckets array<int>").toArrow()
+    # the sample has a fixed bound, so it may go to every executor; of rows that repeat an id the least text is read
+    labelled = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(terms, "y int, buckets array<int>").toArrow()
     lists = labelled.column("buckets").combine_chunks()
     rows_ = [lists[i].values.to_numpy(zero_copy_only=False) for i in range(len(lists))]
     order = sorted(range(len(rows_)), key=lambda i: rows_[i].tobytes())  # the same whatever order the rows came in
