@@ -418,16 +418,59 @@ def test_spans_cover_the_bytes_they_came_from(spark):
 # ---- 9 embeddings ------------------------------------------------------------------------------------------------------
 
 
-def test_pairs_against_all_products(spark):
+def _brute_classes(x, least=embeddings.LEAST):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), int(near[i].sum())) for i in range(len(x))}
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("block,pivots", [(8192, 128), (37, 16)])
+def test_classes_and_links_against_all_products(spark, block, pivots):
     rng = np.random.default_rng(10)
-    x = rng.normal(size=(300, 24))
-    x[150:] = x[:150] + rng.normal(size=(150, 24)) * rng.uniform(0, 0.5, 150)[:, None]
+    x = rng.normal(size=(500, 24))
+    x[150:300] = x[:150] + rng.normal(size=(150, 24)) * rng.uniform(0, 0.5, 150)[:, None]
+    x[300:400] = x[0] + rng.normal(size=(100, 24)) * 0.02  # a hot group, near one another
+    x[400:] = x[1]  # and one of equal vectors
     x = x.astype(np.float32)
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    want = {(i, j) for i, j in itertools.combinations(range(300), 2) if u[i] @ u[j] >= embeddings.LEAST}
-    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    for block in (4096, 37):
-        assert {(r["vec_a"], r["vec_b"]) for r in embeddings.near_pairs(df, block_rows=block).collect()} == want
+    got = {r["vec_id"]: (r["class_id"], r["links"]) for r in embeddings.near_classes(_vectors(spark, x), block_rows=block, pivots=pivots).collect()}
+    assert got == _brute_classes(x) and len({c for c, _ in got.values()}) < 400
+
+
+def test_block_pairs_leave_out_no_near_pair():
+    rng = np.random.default_rng(16)
+    centres = embeddings.unit(rng.normal(size=(12, 6)), 6)
+    x = embeddings.unit(np.concatenate([c + rng.normal(size=(40, 6)) * s for c, s in zip(centres, [0.02, 0.1, 0.5] * 4, strict=True)]), 6)
+    dots = x @ centres.T
+    cell, turn = dots.argmax(1), np.arccos(dots.max(1))
+    ring = (turn / np.pi * 64).astype(int)
+    blocks = sorted(set(zip(cell.tolist(), ring.tolist(), strict=True)))
+    of = np.array([blocks.index(b) for b in zip(cell.tolist(), ring.tolist(), strict=True)])
+    pivot, low = np.array([b[0] for b in blocks]), np.array([b[1] * np.pi / 64 for b in blocks])
+    angle, between = math.acos(0.95), np.arccos(np.clip(centres @ centres.T, -1, 1))
+    np.fill_diagonal(between, 0)
+    near, seen = x @ x.T >= 0.95, {}
+    for a, look, whole in embeddings.block_pairs(pivot, low, low + np.pi / 64, between, angle, np.arange(len(blocks))):
+        seen |= {(a, b): "look" for b in look.tolist()} | {(a, b): "near" for b in whole.tolist()}
+    assert "near" in seen.values() and len(seen) < 0.7 * len(blocks) * (len(blocks) + 1) / 2
+    for a in range(len(blocks)):
+        for b in range(a, len(blocks)):
+            part = near[np.ix_(of == a, of == b)]
+            assert seen.get((a, b)) == "look" or (part.all() if seen.get((a, b)) == "near" else not part.any())
 
 
 def test_bounds_hold():

@@ -140,9 +140,12 @@ def test_html_odd(spark):
 def test_embeddings_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [0.0, 0.0], 1), (4, None, 1), (5, [], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (None, [1.0, 0.0], 1), (8, [1.0, 0.0, 0.0], 1), (9, [1.0, None], 1)]
-    got = embeddings.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int"))
-    assert [tuple(r) for r in got.collect()] == [(1, 2, 1.0)]
-    assert embeddings.near_pairs(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    rows.append((2, [9.0, 1.0], 1))  # of rows that repeat an id the least vector counts
+    got = embeddings.near_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 1), (8, 8, 0)]
+    names = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0])], "name string, x array<double>")
+    assert sorted(map(tuple, embeddings.near_classes(names, "name", "x").collect())) == [("a", "a", 1), ("b", "a", 1), ("c", "c", 0)]
+    assert embeddings.near_classes(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 # ---- stages ------------------------------------------------------------------------------------------------------------
