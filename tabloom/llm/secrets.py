@@ -8,11 +8,15 @@ known: digests (hexadecimal of a digest's length) and UUIDs, plain numbers, and
 A candidate that passes as a whole may be a path or a name with a secret in it: stretches of it that cost many tokens
 are judged by themselves, up to the separators around them.
 A digest-like string right after a credential's name (``token = "..."``) is no known digest and is reported.
+
+What is assigned to a credential's name by ``=``, ``:`` or ``=>`` is a candidate from 8 characters on, and may hold the
+punctuation that passwords do; other runs need 16.  A name counts if it ends within the 64 bytes before the value.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +43,7 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 NUMBER = re.compile(r"[-+]?[0-9]+(?:[-/_+][0-9]+)*")
 LOOKS_RANDOM = re.compile(r"[0-9]|[a-z][A-Z]")
+HAS_KEY = re.compile(r"[A-Za-z]|[0-9]{8}")
 CAPITALS = re.compile(r"[A-Z]+")
 LETTERS = re.compile(r"[A-Za-z]+")
 PART = re.compile(r"[A-Za-z0-9]+")
@@ -47,6 +52,14 @@ HARMLESS = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern.removeprefix('(?i)').r
 #: Tokens more than a readable text has that make a stretch, times MOST_RATIO; how far it may fall back within one.
 LEAST_EXCESS, MOST_FALL = 4.0, 8.0
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[\"']?\s*(?:[:=]|=>)?\s*[\"']?$")
+#: Of a value that is assigned to a name: characters, and those that a sentence may have put behind it.
+VALUE = re.compile(rb"[A-Za-z0-9+/_=!@#$%^&*.~?:\x80-\xff-]{8,}")
+NAMED = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[\"']?[ \t]*$")
+AFTER_NAME = re.compile(rb"(?:=|>)?[ \t]*([\"'])?")
+_NAME_ENDS = np.zeros(256, dtype=bool)
+_NAME_ENDS[[*b"nNtTdDyYhHlLrR\"' \t"]] = True
+#: Bytes before a candidate in which a credential's name may stand.
+CONTEXT = 64
 ASSIGNED = re.compile(r"(?i)^((?:[a-z_-]*(?:token|secret|passw(?:or)?d|pwd|key|auth|credential)[a-z_-]*)=)(.+)$")
 
 
@@ -80,6 +93,31 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
     yield from zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True)
 
 
+def assigned(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, begin, end) in bytes of each value that is assigned to a credential's name, unless it is one long run of key characters."""
+    marks = np.flatnonzero((data == 58) | (data == 61))
+    marks = marks[marks > 0]
+    marks = marks[_NAME_ENDS[data[marks - 1]]]
+    for at in marks.tolist():
+        doc = int(np.searchsorted(offsets, at, side="right")) - 1
+        low, high = int(offsets[doc]), int(offsets[doc + 1])
+        if not NAMED.search(data[max(low, at - CONTEXT) : at].tobytes()):
+            continue
+        # a value seldom is long: more is read only where it goes on
+        for size in (256, high - at):
+            text = data[at + 1 : min(high, at + 1 + size)].tobytes()
+            m = AFTER_NAME.match(text)
+            v = VALUE.match(text, m.end())
+            if v is None or v.end() < len(text) or at + 1 + size >= high:
+                break
+        if v is None:
+            continue
+        value = v[0] if m[1] else v[0].rstrip(b".:?")
+        if len(value) < 8 or (len(value) >= LEAST_LENGTH and KEY_BYTES[np.frombuffer(value, np.uint8)].all()):
+            continue
+        yield doc, at + 1 + v.start(), at + 1 + v.start() + len(value)
+
+
 def judged(run: str, before: str, known: frozenset[str], encoding, most_ratio: float) -> tuple[int, int, int] | None:
     """(begin in the run, characters, tokens) of the secret that ``run`` holds, or None."""
     skip = len(run) - len(run.lstrip("=-_+/"))
@@ -87,7 +125,7 @@ def judged(run: str, before: str, known: frozenset[str], encoding, most_ratio: f
     text = run[skip:].rstrip("=") if not skip else run[skip:]
     if m := ASSIGNED.match(text):
         skip, text, named = skip + len(m[1]), m[2], True
-    if len(text) < (8 if named else LEAST_LENGTH) or text in known or NUMBER.fullmatch(text):
+    if len(text) < (8 if named else LEAST_LENGTH) or text in known or NUMBER.fullmatch(text) or not HAS_KEY.search(text):
         return None
     if not named and (DIGEST.fullmatch(text) or UUID.fullmatch(text)):
         return None
@@ -106,7 +144,7 @@ def stretches(run: str, encoding, most_ratio: float) -> Iterator[tuple[int, int]
     """(begin, end) of the parts of ``run`` in which characters are short of ``most_ratio`` times the tokens by LEAST_EXCESS or more."""
     harmless = np.zeros(len(run) + 1, dtype=bool)
     for m in HARMLESS.finditer(run):
-        harmless[m.start() : m.end()] = not CREDENTIAL.search(run[max(0, m.start() - 32) : m.start()])
+        harmless[m.start() : m.end()] = not CREDENTIAL.search(run[max(0, m.start() - CONTEXT) : m.start()])
     at = begin = end = 0
     excess = most = 0.0
     for size in [*(len(encoding.decode_single_token_bytes(t)) for t in encoding.encode_ordinary(run)), 0]:
@@ -137,7 +175,7 @@ def all_judged(run: str, before: str, known: frozenset[str], encoding, most_rati
             text = run[x:y].rstrip("=-_+/")
             if x < reached or text.lstrip("=-_+/") in known or max(map(len, PART.findall(text)), default=0) < 8:
                 continue
-            hit = judged(text, before if x == 0 else run[max(0, x - 32) : x], known, encoding, most_ratio)
+            hit = judged(text, before if x == 0 else run[max(0, x - CONTEXT) : x], known, encoding, most_ratio)
             if hit:
                 out.append((x + hit[0], *hit[1:]))
                 reached = y
@@ -159,12 +197,25 @@ def secrets(text: Column, vocabulary: str = VOCABULARY, most_ratio: float = MOST
             out: list[list[dict]] = [[] for _ in range(len(column))]
             for at, part in slices(as_strings(column)):
                 data, offsets = utf8(part)
-                starts = (data & 0xC0) != 0x80
+                chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+                hits: list[tuple[int, int, int, int, int]] = []  # text, begin and end in characters of the slice, tokens, 0 for a value with a name
+
+                def judge(doc: int, b: int, e: int, of, rank: int, data=data, offsets=offsets, chars=chars, hits=hits) -> None:
+                    before = data[max(int(offsets[doc]), b - CONTEXT) : b].tobytes().decode("utf-8", "ignore")
+                    for x, n, tokens in of(data[b:e].tobytes().decode("utf-8", "replace"), before, known, encoding, most_ratio):
+                        hits.append((doc, int(chars[b]) + x, int(chars[b]) + x + n, tokens, rank))
+
+                for doc, b, e in assigned(data, offsets):
+                    judge(doc, b, e, lambda *x: [h for h in [judged(*x)] if h], 0)
                 for doc, b, e in candidates(data, offsets):
-                    low = max(int(offsets[doc]), b - 32)
-                    for hit in all_judged(data[b:e].tobytes().decode(), data[low:b].tobytes().decode("utf-8", "ignore"), known, encoding, most_ratio):
-                        first = int(np.count_nonzero(starts[offsets[doc] : b])) + hit[0]
-                        out[at + doc].append({"start": first, "end": first + hit[1], "tokens": hit[2], "ratio": round(hit[1] / hit[2], 6)})
+                    judge(doc, b, e, all_judged, 1)
+                values = sorted((b, e) for _, b, e, _, rank in hits if rank == 0)
+                for doc, b, e, tokens, rank in sorted(hits):
+                    i = bisect.bisect_left(values, (e, 0))  # the last value that begins before this ends
+                    if rank and i and values[i - 1][1] > b:
+                        continue
+                    base = int(chars[offsets[doc]])
+                    out[at + doc].append({"start": b - base, "end": e - base, "tokens": tokens, "ratio": round((e - b) / tokens, 6)})
             yield pa.array(out, _ARROW)
 
     return scan(text)
@@ -174,6 +225,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **optio
     """(doc_id, start, end, tokens, ratio): one row per secret, offsets in characters.
 
     Rows are scanned one by one; a repeated row reports its secrets again, a null id is kept.  Null and empty texts
-    report none.  Other columns are not looked at.
+    report none, an empty table gives no rows.  A very long text is scanned whole, in time that grows with its length.
+    Other columns are not looked at.
     """
     return df.select(F.col(id_col).alias("doc_id"), F.explode(secrets(F.col(text_col), **options)).alias("x")).select("doc_id", "x.*")
