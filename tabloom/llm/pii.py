@@ -30,6 +30,9 @@ TYPES = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN")
 #: Characters of the longest permitted entity of each type; all but EMAIL are bounded by their shapes as well.
 LONGEST = (254, 44, 15, 23, 11, 42)
 
+#: Bytes before an island in which the word that may name its type stands.
+CONTEXT = 24
+
 UNIT = re.compile(r"[^\W\d_]+|\d+|.", re.S)
 EMAIL = re.compile(r"[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}")
 IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
@@ -78,6 +81,10 @@ class Island:
         begins, ends = {b: i for i, (b, _) in enumerate(self.bounds)}, {e: i + 1 for i, (_, e) in enumerate(self.bounds)}
         self.candidates: list[tuple[int, int, int, np.ndarray]] = []
         self.outside = [1.0 if text[b].isdigit() else 0.5 if text[b] == "@" else 0.0 for b, _ in self.bounds]
+        # of an island: where its first character is that is no opening mark, and where its last is that is no closing one
+        self.opens = len(text) - len(text.lstrip(" \"'([<"))
+        self.opens_more = len(text) - len(text.lstrip(" \"'([<,;."))
+        self.closes = len(text.rstrip(" \"')]>,;.!?:"))
         cue = word_before.rstrip(":").rsplit(None, 1)[-1] if word_before.strip() else ""
         at = -1  # of the next @
         for b, i in begins.items():
@@ -94,11 +101,11 @@ class Island:
                 while (m := shape.match(text, b, stop)) and m.end() > b:
                     e = m.end()
                     if e in ends:
-                        self.candidates.append((i, ends[e], kind, self._features(text, b, e, kind, cue)))
+                        self.candidates.append((i, ends[e], kind, self._features(text, b, e, kind, cue, (self.opens, self.opens_more, self.closes))))
                     stop = e - 1
 
     @staticmethod
-    def _features(text: str, b: int, e: int, kind: int, cue: str) -> np.ndarray:
+    def _features(text: str, b: int, e: int, kind: int, cue: str, edges: tuple[int, int, int]) -> np.ndarray:
         left, right = text[b - 1] if b else " ", text[e] if e < len(text) else " "
         after = text[e + 1] if e + 1 < len(text) else " "
         f = np.zeros(FEATURES)
@@ -106,12 +113,12 @@ class Island:
         f[2] = _checked(kind, text[b:e])
         f[3] = not (left.isalnum() or left in "_@.+%-/=#")
         f[4] = not (right.isalnum() or right in "_@/=-+") and not (right in ".:," and after.isalnum())
-        if not text[:b].strip(" \"'([<"):
+        if b <= edges[0]:
             f[5] = bool(CUES[kind].fullmatch(cue.strip("\"'([<,;")))
             f[6] = bool(AGAINST.fullmatch(cue.strip("\"'([<,;.#")))
         f[7] = left.isalnum() or right.isalnum() or left in "=-_" or right in "=-_"
         f[8] = min(1.0, (e - b) / 24)
-        f[9] = not text[:b].strip(" \"'([<,;.") and not text[e:].strip(" \"')]>,;.!?:")
+        f[9] = b <= edges[1] and e >= edges[2]
         return f
 
 
@@ -307,13 +314,13 @@ def spans(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     for at, part in slices(texts):
         data, offsets = utf8(part)
-        chars = (data & 0xC0) != 0x80
+        chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
         for doc, b, e in islands(data, offsets):
-            before = data[max(int(offsets[doc]), b - 24) : b].tobytes().decode("utf-8", "ignore")
+            before = data[max(int(offsets[doc]), b - CONTEXT) : b].tobytes().decode("utf-8", "ignore")
             text = data[b:e].tobytes().decode("utf-8", "replace")
             found = field.best(Island(text, before))
             if found:
-                base = int(np.count_nonzero(chars[offsets[doc] : b]))
+                base = int(chars[b] - chars[offsets[doc]])
                 out[at + doc] += [(base + x, base + y, k) for x, y, k in found]
     return out
 
@@ -359,7 +366,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field:
     """(doc_id, type, start, end): one row per entity, offsets in characters.
 
     Rows are read one by one; a repeated row reports its entities again, a null id is kept.  Null and empty texts
-    report none.  Other columns are not looked at.
+    report none, an empty table gives no rows.  A very long text is read whole.  Other columns are not looked at.
     """
     return df.select(F.col(id_col).alias("doc_id"), F.explode(entities(F.col(text_col), field)).alias("x")).select("doc_id", "x.*")
 
