@@ -4,6 +4,7 @@ import io
 import itertools
 import math
 import random
+import re
 import wave
 from collections import Counter
 
@@ -14,6 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tabloom.llm import audio, embeddings, html, langid, minhash, mixing, pieces, pii, queries, secrets, toxicity
+from tabloom.llm._sample import bounded_sample
 from tabloom.llm._text import Words
 
 SF = "/root/testdata/sf0.01"
@@ -81,6 +83,49 @@ def test_features_of_a_wave_file_and_their_tensors(spark, tmp_path):
     assert table.num_rows == len(rows) and table.schema.field("tensor").type.shape == [audio.FRAMES, audio.MELS]
 
 
+def _wav(x, width, rate=16_000):
+    out, top = io.BytesIO(), 2 ** (8 * width - 1)
+    ints = np.clip(np.rint(x * top), -top, top - 1).astype(np.int64)
+    data = (ints + 128).astype(np.uint8).tobytes() if width == 1 else b"".join(int(v).to_bytes(width, "little", signed=True) for v in ints)
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(data)
+    return out.getvalue()
+
+
+def test_every_width_of_pcm_is_read_and_wrong_calls_raise(spark):
+    x = 0.5 * np.sin(2 * np.pi * 440 * np.arange(8000) / 16_000)
+    for width in (1, 2, 3, 4):
+        assert np.allclose(audio.Pcm(_wav(x, width), None, 1).read(0, 8000), x, atol=2.0 ** (1 - 8 * width) + 1e-6)
+    df = spark.createDataFrame([(f"w{w}", _wav(x, w)) for w in (1, 2, 3, 4)], "name string, clip binary")
+    rows = audio.features(df, "name").collect()
+    assert Counter(r["doc_id"] for r in rows) == {f"w{w}": 4 for w in (1, 2, 3, 4)}
+    for options in ({"rate": 0}, {"rate": 8000, "width": 5}):
+        with pytest.raises(ValueError):
+            audio.features(df, "name", **options)
+    with pytest.raises(Exception, match="needs a rate"):
+        audio.features(spark.createDataFrame([(1, b"no wave file")], "doc_id long, clip binary")).collect()
+
+
+def test_strips_give_what_one_pass_gives():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=120_000) * np.repeat(rng.choice([0, 0.001, 0.02, 0.3], size=200), 600)
+    clip = (x.clip(-1, 0.99) * 128 + 128).astype(np.uint8).tobytes()
+    y = audio.resampled(audio.Pcm(clip, 24_000, 1).read(0, len(clip)), 24_000)
+    frames = audio.framed(y)
+    mel, want = audio.log_mel(frames), []
+    for s, (b, e) in enumerate(audio.sounding(audio.levels(frames))):
+        for c, i in enumerate(range(b, e, audio.FRAMES)):
+            n = min(audio.FRAMES, e - i)
+            want.append((s, c, i * audio.HOP / audio.RATE, min(len(y), (i + n - 1) * audio.HOP + audio.WINDOW) / audio.RATE, n, mel[i : i + n]))
+    for strip in (5, 16, 100, audio.STRIP):
+        got = list(audio.clip_features(clip, 24_000, 1, strip))
+        assert [g[:5] for g in got] == [w[:5] for w in want] and len(got) > 20
+        assert all(np.allclose(g[5][: g[4]], w[5], atol=1e-3) and not g[5][g[4] :].any() for g, w in zip(got, want, strict=True))
+
+
 def test_audio_query_against_one_clip_at_a_time(spark, tmp_path):
     texts = ["plain text that is one clip", "ÿ" * 3000, "", "x" * 90 + " é" * 500]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
@@ -108,7 +153,7 @@ def test_scores_are_the_kernel_sums():
     table = langid.alphabet_of(texts)
 
     def grams(t):
-        c = table[[ord(x) for x in t]]
+        c = table[[ord(x) for x in t]].tolist()
         return {tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)}
 
     k = np.array([[len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b))) for b in texts] for a in texts])
@@ -118,6 +163,47 @@ def test_scores_are_the_kernel_sums():
     assert np.allclose(model.scores(texts, model.table()), k @ alpha + y.mean(0), atol=1e-3)
 
 
+def test_every_character_of_the_sample_tells_languages_apart():
+    r = random.Random(18)
+    drawn = lambda a, n: "".join(chr(r.randrange(a, a + n)) for _ in range(30))
+    texts = [drawn(a, 300) for a in (0x4E00, 0x5000, 0x430) for _ in range(40)]
+    names = [x for x in ("zh", "xx", "ru") for _ in range(40)]
+    model = langid.train(texts, names, landmarks=120)
+    fresh = [drawn(a, 300) for a in (0x4E00, 0x5000, 0x430) for _ in range(10)]
+    got = [model.languages[i] for i in model.scores(fresh, model.table()).argmax(axis=1)]
+    assert len(model.alphabet) > 700 and np.mean([g == n for g, n in zip(got, [x for x in ("zh", "xx", "ru") for _ in range(10)], strict=True)]) > 0.95
+
+
+# ---- bounded samples ---------------------------------------------------------------------------------------------------
+
+
+def test_samples_are_of_distinct_ids(spark):
+    rows = [(i % 10, f"t{i % 30}", i) for i in range(4000)] + [(None, "x", 1)] * 5
+    df = spark.createDataFrame(rows, "id long, text string, n long")
+    got = [tuple(r) for r in bounded_sample(df, "id", 4).collect()]
+    assert len(got) == len({g[0] for g in got}) == 4 and None not in {g[0] for g in got}
+    assert all(g == min(r for r in rows if r[0] == g[0]) for g in got)
+    assert bounded_sample(df, "id", 100).count() == 10 and bounded_sample(df.limit(0), "id", 4).count() == 0
+    assert sorted(map(tuple, bounded_sample(df.repartition(7), "id", 4).collect())) == sorted(got)
+    wide = spark.range(50_000).select("id")
+    assert bounded_sample(wide, "id", 300).count() == 300
+
+
+def test_ten_ids_repeated_teach_as_ten_rows(spark):
+    even = pieces.F.col("doc_id") % 2 == 0
+    docs = spark.range(40_000).select((pieces.F.col("id") % 10).alias("doc_id"))
+    docs = docs.select("doc_id", pieces.F.when(even, "der hund und die katze").otherwise("the dog and the cat").alias("text"), pieces.F.when(even, "de").otherwise("en").alias("lang"), pieces.F.when(even, 1).otherwise(0).alias("toxic"))
+    assert langid.fit(docs, rows=1600).languages == ("de", "en")
+    machine = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert len(machine.w) and machine.scores(pa.array(["der hund und die katze"]), machine.table())[0] > 0.5 > machine.scores(pa.array(["the dog and the cat"]), machine.table())[0]
+    page = "<nav><a>go home</a></nav><article><p>Some words, and more.</p></article>"
+    pages = spark.range(6000).select((pieces.F.col("id") % 5).alias("page_id"), pieces.F.lit(page).alias("html"))
+    few = html.fit(spark.createDataFrame([(i, page) for i in range(5)], "page_id long, html string"))
+    assert np.allclose(html.fit(pages).weights, few.weights) and few.weights.any()
+    assert not html.fit(pages.limit(0)).weights.any() and not html.fit(spark.createDataFrame([(1, None)], "page_id long, html string")).weights.any()
+    assert not html.fit(pages, most_chars=10).weights.any() and langid.fit(docs, most_chars=3).languages == ()
+
+
 # ---- 3 pages -----------------------------------------------------------------------------------------------------------
 
 
@@ -185,31 +271,56 @@ def test_logits_are_the_double_sum():
 # ---- 5 personal data ---------------------------------------------------------------------------------------------------
 
 
+def _all_segmentations(island, i=0):
+    """Every way to cover the units from ``i`` on by candidates and outside units, as lists of candidates."""
+    if i == len(island.bounds):
+        yield []
+        return
+    for c in [None, *(c for c in island.candidates if c[0] == i)]:
+        for rest in _all_segmentations(island, i + 1 if c is None else c[1]):
+            yield ([] if c is None else [c]) + rest
+
+
+def _score(field, island, chosen):
+    covered = {u for i, j, _, _ in chosen for u in range(i, j)}
+    return sum(float(field.weights[k] @ f) for _, _, k, f in chosen) + sum(field.outside * island.outside[u] for u in range(len(island.bounds)) if u not in covered)
+
+
+TEXTS_OF_SPANS = ("a.b@c.de 1.2.3.4", "219-09-9999 (555) 234-5678", "DE89370400440532013000", "+1 415 555 2671 x")
+
+
 def test_best_segmentation_is_the_best_of_all():
     rng = np.random.default_rng(8)
-    for text in ("a.b@c.de 1.2.3.4", "219-09-9999 (555) 234-5678", "DE89370400440532013000", "+1 415 555 2671 x"):
+    for text in TEXTS_OF_SPANS:
         island = pii.Island(text, "call ")
         field = pii.Field(rng.normal(size=(len(pii.TYPES), pii.FEATURES)), 0.2)
-        n = len(island.bounds)
-        best = [0.0] + [-math.inf] * n
-
-        def top(i, score, field=field, island=island, n=n):
-            if i == n:
-                best[0] = max(best[0], score) if seen else score
-                seen.append(1)
-                return
-            top(i + 1, score + field.outside * island.outside[i])
-            for a, j, k, f in island.candidates:
-                if a == i:
-                    top(j, score + float(field.weights[k] @ f))
-
-        seen = []
-        if n <= 14:
-            top(0, 0.0)
-            spans, chosen = {(island.bounds[a][0], island.bounds[j - 1][1], k): f for a, j, k, f in island.candidates}, field.best(island)
-            covered = {u for b, e, _ in chosen for u, (x, _) in enumerate(island.bounds) if b <= x < e}
-            got = sum(float(field.weights[s[2]] @ spans[s]) for s in chosen) + sum(field.outside * island.outside[u] for u in range(n) if u not in covered)
-            assert np.isclose(got, best[0])
+        best = max(_score(field, island, s) for s in _all_segmentations(island))
+        starts = {island.bounds[i][0]: i for i in range(len(island.bounds))}
+        stops = {e: i + 1 for i, (_, e) in enumerate(island.bounds)}
+        known = {c[:3]: c for c in island.candidates}
+        chosen = [known[starts[b], stops[e], k] for b, e, k in field.best(island)]
+        assert island.candidates and np.isclose(_score(field, island, chosen), best)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(19)
+    for text in TEXTS_OF_SPANS[:2]:
+        island = pii.Island(text, "mail ")
+        segmentations = list(_all_segmentations(island))
+        truth = segmentations[len(segmentations) // 2]
+        weights, outside = rng.normal(size=(len(pii.TYPES), pii.FEATURES)) * 0.3, 0.2
+
+        def like(w, o, island=island, segmentations=segmentations, truth=truth):
+            f = pii.Field(w, o)
+            return _score(f, island, truth) - np.logaddexp.reduce([_score(f, island, s) for s in segmentations])
+
+        value, g, g_out = pii.Field(weights, outside).gradient(island, {c[:3] for c in truth})
+        assert np.isclose(value, like(weights, outside))
+        assert np.isclose(g_out, (like(weights, outside + 1e-5) - like(weights, outside - 1e-5)) / 2e-5, atol=1e-5)
+        for k, i in ((0, 0), (0, 3), (1, 1), (2, 8), (4, 2)):
+            step = np.zeros_like(weights)
+            step[k, i] = 1e-5
+            assert np.isclose(g[k, i], (like(weights + step, outside) - like(weights - step, outside)) / 2e-5, atol=1e-5)
 
 
 def test_entities_of_fresh_sentences():
@@ -415,6 +526,32 @@ def test_spans_cover_the_bytes_they_came_from(spark):
     assert [w.strip() for w in words] == [core.id_to_piece(i).replace("▁", "") for i in plain["ids"]]
 
 
+def test_spans_are_those_of_a_map_by_single_characters(spark):
+    """Source bytes of every normalised character, found with the library's own normaliser, prefix by prefix."""
+    import sentencepiece
+
+    normalizer, library = sentencepiece.SentencePieceNormalizer(rule_name=pieces.RULES), _library()
+    texts = [t for t in TEXTS if t and len(t) < 60] + ["Straße ﬃ x", "naïve café", "ＡＢ１２ ok", "½ ¾ ㎏", "日本 語"]
+    rows = {r["doc_id"]: r for r in pieces.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        # each source character's normal form by itself, where that adds up to the whole text's
+        alone = [normalizer.normalize(c) if c != " " else " " for c in text]
+        if "".join(alone) != normalizer.normalize(text):
+            continue
+        begins, ends, at = [0, 0, 0], [0, 0, 0], 0
+        for c, made in zip(text, alone, strict=True):
+            n = len(c.encode())
+            size = len(made.replace(" ", pieces.SPACE).encode())
+            begins, ends, at = begins + [at] * size, ends + [at + n] * size, at + n
+        stops, want = 0, []
+        for p in library.encode(text, out_type="immutable_proto").pieces:
+            piece = p.piece
+            size = 1 if piece.startswith("<0x") else len(piece.encode())
+            want.append((begins[stops], ends[stops + size - 1]))
+            stops += size
+        assert list(zip(rows[i]["begins"], rows[i]["ends"], strict=True)) == want, text
+
+
 # ---- 9 embeddings ------------------------------------------------------------------------------------------------------
 
 
@@ -526,6 +663,64 @@ def test_secrets_within_paths_and_names_are_found_alone():
         assert parts(clean) == []
 
 
+def _plainly(text, encoding):
+    """Secrets of whole runs and of assigned values, by regular expressions over characters and the tokenizer alone."""
+    count = lambda x: len(encoding.encode_ordinary(x))
+    name = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|key|auth|credential|bearer)"
+
+    def secret(x, named):
+        if not re.search(r"[A-Za-z]|[0-9]{8}", x) or re.fullmatch(r"[-+]?[0-9]+(?:[-/_+][0-9]+)*", x) or len(x) < (8 if named else 16):
+            return False
+        if not named and (re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", x) and len(x) in ((32, 40, 56, 64, 96, 128) if x.lower() == x else (32, 40, 64)) or re.fullmatch(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", x)):
+            return False
+        if re.fullmatch("[A-Z]+", x):
+            return len(x) < 1.7 * count(x)
+        if not re.search("[0-9]|[a-z][A-Z]", x):
+            words = re.findall("[A-Za-z]+", x)
+            return sum(map(len, words)) >= (8 if named else 12) and sum(map(len, words)) < (2.2 if named else 1.8) * sum(map(count, words)) and len(x) < 2.2 * count(x)
+        return len(x) < 2.2 * count(x)
+
+    out = set()
+    for m in re.finditer(rf"(?i){name}[\"']?[ \t]*(?::|=>|=|:=)[ \t]*([\"']?)([A-Za-z0-9+/_=!@#$%^&*.~?:-]{{8,}})", text):
+        value = m[2] if m[1] else m[2].rstrip(".:?")
+        if len(value) >= 8 and not re.fullmatch("[A-Za-z0-9+/_=-]{16,}", value) and secret(value.lstrip("=-_+/").rstrip("=") if value[0] not in "=-_+/" else value.lstrip("=-_+/"), True):
+            out.add((m.start(2), m.start(2) + len(value)))
+    runs = set()
+    for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+        lead = len(m[0]) - len(m[0].lstrip("=-_+/"))
+        x = m[0][lead:] if lead else m[0].rstrip("=")
+        named = bool(re.search(rf"(?i){name}[\"']?\s*(?:[:=]|=>)?\s*[\"']?$", text[max(0, m.start() - 64) : m.start()]))
+        if a := re.match(r"(?i)([a-z_-]*(?:token|secret|passw(?:or)?d|pwd|key|auth|credential)[a-z_-]*=)(.+)", x):
+            lead, x, named = lead + len(a[1]), a[2], True
+        if secret(x, named):
+            runs.add((m.start() + lead, m.start() + lead + len(x)))
+    return out | {r for r in runs if not any(b < r[1] and r[0] < e for b, e in out)}
+
+
+def test_every_run_against_regular_expressions_and_the_tokenizer(spark):
+    """On the documents and on lines made up here; stretches within longer runs have a test of their own."""
+    r, encoding = random.Random(20), secrets._encoding(secrets.VOCABULARY)
+    drawn = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choice(a) for _ in range(n))
+    lines = [f"{a}{q}{v}{q}{z}" for a in ("password=", "the token = ", "api_key: ", "é pwd => ", "see ", "auth:") for q in ("", '"') for v in (drawn(10), drawn(20), drawn(14, "abcdefghijklmnopqrstuvwxyz"), drawn(12) + "!@#", "correcthorse", "12:30:45", "2024-01-02", drawn(40, "0123456789abcdef")) for z in ("", ".", " and so on")]
+    texts = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").collect()] + lines
+    got = {i: set() for i in range(len(texts))}
+    for x in secrets.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[x["doc_id"]].add((x["start"], x["end"]))
+        assert x["tokens"] == len(encoding.encode_ordinary(texts[x["doc_id"]][x["start"] : x["end"]]))
+    want = {i: _plainly(t, encoding) for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 150
+    for i, t in enumerate(texts):
+        extra = got[i] - want[i]
+        # what else is found lies within a longer run that is no secret as a whole
+        assert want[i] <= got[i] and all(re.search(r"[/=_+-]", t[max(0, b - 1) : e + 1]) for b, e in extra), (t, got[i], want[i])
+
+
+def test_short_values_with_a_name_are_found(spark):
+    rows = [(1, "password=aB3xY9kQ2z"), (2, 'token = "aB3xY9kQ2z"'), (3, "my pwd: q9Z!x7@Lk#2$ and"), (4, "key: 12:30:45, secret: everything is fine"), (5, "token aB3xY9kQ2z")]
+    found = {r["doc_id"]: dict(rows)[r["doc_id"]][r["start"] : r["end"]] for r in secrets.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "aB3xY9kQ2z", 2: "aB3xY9kQ2z", 3: "q9Z!x7@Lk#2$"}
+
+
 def test_secret_spans(spark):
     key = "q9Zt7Xw2Lk4Vb8Nc3Mf6"
     rows = [(1, f"é😀 key {key} end"), (2, "nothing here"), (3, key)]

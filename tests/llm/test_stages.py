@@ -178,6 +178,7 @@ def test_pipeline_against_brute_force(spark):
     import pyarrow as pa
 
     clean = [r for r in rows if m.scores(pa.array([r["text"] or ""]), m.table())[0] < toxicity.THRESHOLD]
+    assert {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()} == {r["doc_id"] for r in clean} and len(clean) < len(rows)
     shingles = {}
     for r in clean:
         w = re.sub(r"[A-Z]", lambda x: x[0].lower(), r["text"] or "").lower().split()
@@ -223,6 +224,18 @@ def test_pipeline_against_brute_force(spark):
         assert abs(got[s] - weight[s] / sum(weight.values()) * frame.count()) <= 1
 
 
+def test_pieces_stage_against_the_library(spark):
+    from test_operators import _library
+
+    library, docs = _library(), spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = corpus_pipeline.encode_pieces(spark, docs, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["ids"] == library.encode(texts[r["doc_id"]], out_type=int)
+        assert len(r["begins"]) == len(r["ends"]) == len(r["ids"]) and (not r["ids"] or r["ends"][-1] == len(texts[r["doc_id"]].encode()))
+
+
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "ids", "begins", "ends"] and got.count() > 100
