@@ -258,6 +258,9 @@ def store(df: DataFrame, folder: str) -> DataFrame:
     table writes no file and gives no rows; null ids are written as such.
     """
 
+    if "://" in folder:
+        raise ValueError("the folder must be a path that every executor has mounted")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, name, n = None, os.path.join(folder, f"part-{uuid.uuid4().hex}.parquet"), 0
         for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm._durable import checkpointed
+from tabloom.llm._durable import checkpointed, discarded
 from tabloom.llm._text import U64, Words, as_strings, mix, slices
 
 #: LEAST bounds the estimate of a candidate, LEAST_EXACT the Jaccard similarity of an edge's shingle sets.
@@ -78,6 +78,8 @@ def shingles(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.nd
 
 def signatures(texts: pa.Array, bins: int = BINS, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """uint32 [n, bins], and whether the text has a word at all."""
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("bins must be a power of two")
     n, shift = len(texts), U64(64 - int(bins).bit_length() + 1)
     sig = np.full((n, bins), EMPTY, dtype=np.uint32)
     for at, part in slices(texts):
@@ -132,11 +134,11 @@ def _signed(df: DataFrame, id_col: str, text_col: str, bins: int, rows: int, shi
             )
 
     picked = _texts(df, id_col, text_col).withColumn("whole", F.xxhash64("text"))
-    return picked.mapInArrow(run, "id long, sig binary, bands array<long>, whole long")
+    return picked.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, sig binary, bands array<long>, whole long")
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
 
 
 @F.arrow_udf(T.DoubleType())
@@ -204,7 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = checkpointed(edges.select(F.greatest("id", "center").alias("u"), F.least("id", "center").alias("v")).where("u > v").distinct())
     before = mark(e)
     while before[0]:
-        e = checkpointed(star(star(e, True), False))
+        e, last = checkpointed(star(star(e, True), False)), e
+        discarded(last)
         now = mark(e)
         if now == before:
             break
@@ -217,7 +220,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, group_id, kept): every document that has a near duplicate, with its group's least ``doc_id``.
 
     ``doc_id`` names a document: rows that repeat one are one document, as similar to another as the most similar
-    of its rows.  Rows with a null ``doc_id``, and null, empty or blank texts, are in no group.  Words are runs of
+    of its rows, and may be of any type that sorts.  Rows with a null ``doc_id``, and null, empty or blank texts, are in no group.  Words are runs of
     anything but ASCII white space, in lower case; a text of fewer than ``shingle`` words counts as one shingle.
     Other columns are not looked at.  An empty table gives no rows.
     """
@@ -232,11 +235,11 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that are in no group stay, those with a null ``doc_id`` or no words among them.  Of rows that repeat a
     ``doc_id`` one stays, that with the least text.
     """
-    ids = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).count().where("count > 1").select("id", F.lit("repeat").alias("why"))
+    ids = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id", F.lit("repeat").alias("why"))
     gone = near_duplicates(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("id"), F.lit("copy").alias("why"))
     verdict = checkpointed(gone.unionByName(ids).groupBy("id").agg(F.min("why").alias("why")))
     # the row as a struct, so that no name of its columns can clash with one of these
-    rows = df.select(F.col(id_col).cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = df.select(F.col(id_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     stay = rows.join(verdict.select(F.col("id").alias("key")), "key", "left_anti").select("row.*")
     again = verdict.where("why = 'repeat'").select(F.col("id").alias("key"))
     if again.isEmpty():

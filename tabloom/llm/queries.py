@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import audio, embeddings, html, langid, minhash, mixing, pieces, pii, secrets, toxicity
+from tabloom.llm._durable import checkpointed, removed, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +68,53 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.found(_table(spark, sf_dir, "documents"))
 
 
+# ---- parts of the operators that SQL can state, over the same whole tables -------------------------------------------------
+
+
+def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document whose text others have: the least of them, and whether op6 has it in that one's group."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), (F.trim("text") != "").alias("words")).where("words").drop("words")
+    same = docs.groupBy("x", "y").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "group_id")
+    copies = docs.join(same, ["x", "y"]).select("doc_id", "first_id").join(groups, "doc_id", "left")
+    first = groups.select(F.col("doc_id").alias("first_id"), F.col("group_id").alias("group"))
+    return copies.join(first, "first_id", "left").select("doc_id", "first_id", F.coalesce(F.col("group_id") == F.col("group"), F.lit(False)).alias("together"))
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of every document decode to, and how many bytes of the source their spans reach."""
+    out = pieces.tokens(_table(spark, sf_dir, "documents"), decode=True)
+    return out.select("doc_id", F.md5("decoded").alias("digest"), F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def secret_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of key characters that the secret scan judges in every document."""
+    runs = _table(spark, sf_dir, "documents").select("doc_id", secrets.key_runs(F.col("text")).alias("r"))
+    return runs.select("doc_id", F.size("r").cast("long").alias("runs"), F.md5(F.array_join("r", " ")).alias("digest"))
+
+
+def audio_tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensors of op1 through files whose column has Arrow's fixed-shape type: how many a clip has, and their frames."""
+    folder = f"{shared_folder(spark)}/tensors-{uuid.uuid4().hex}"
+    files = [r["file"] for r in audio.store(op1_audio_features(spark, sf_dir), folder.removeprefix("file://").removeprefix("file:")).collect()]
+    if not files:
+        return op1_audio_features(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("tensors"), F.sum("frames").alias("frames"), F.max(F.size("tensor")).alias("floats"))
+    back = spark.read.parquet(*[f"file://{f}" for f in files])
+    out = checkpointed(back.groupBy("doc_id").agg(F.count("*").alias("tensors"), F.sum("frames").alias("frames"), F.max(F.size("tensor")).alias("floats")))
+    removed(spark, folder)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_audio_features, op2_language_id, op3_html_extraction, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan, near_vectors_at_040)
+    for f in (op1_audio_features, op2_language_id, op3_html_extraction, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan, near_vectors_at_040, exact_copies, piece_round_trip, secret_runs, audio_tensor_files)
 }
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_embedding_neardup": embeddings.ORACLE, "near_vectors_at_040": embeddings.oracle(0.4)}
+ORACLES |= {
+    "exact_copies": """WITH c AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS n, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE trim(text) <> '')
+SELECT doc_id, first_id, true AS together FROM c WHERE n > 1""",
+    # the map of compatibility forms changes none of these texts, so they come back as they are
+    "piece_round_trip": "SELECT doc_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
+    "secret_runs": """SELECT doc_id, CAST(len(r) AS BIGINT) AS runs, md5(array_to_string(r, ' ')) AS digest
+FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9+/_=-]{16,}') AS r FROM documents)""",
+}

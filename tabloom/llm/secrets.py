@@ -221,6 +221,22 @@ def secrets(text: Column, vocabulary: str = VOCABULARY, most_ratio: float = MOST
     return scan(text)
 
 
+def key_runs(text: Column) -> Column:
+    """array<string>: the long runs of key characters that are judged; empty for null and empty texts."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out: list[list[str]] = [[] for _ in range(len(column))]
+            for at, part in slices(as_strings(column)):
+                data, offsets = utf8(part)
+                for doc, b, e in candidates(data, offsets):
+                    out[at + doc].append(data[b:e].tobytes().decode())
+            yield pa.array(out, pa.list_(pa.string()))
+
+    return scan(text)
+
+
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, start, end, tokens, ratio): one row per secret, offsets in characters.
 

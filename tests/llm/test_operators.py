@@ -726,3 +726,33 @@ def test_secret_spans(spark):
     rows = [(1, f"é😀 key {key} end"), (2, "nothing here"), (3, key)]
     got = [(r["doc_id"], r["start"], r["end"]) for r in secrets.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [(1, 7, 27), (3, 0, 20)]
+
+
+# ---- queries with SQL --------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    with duckdb.connect() as con:
+        for t in ("documents", "embeddings"):
+            con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+        rel = con.sql(queries.ORACLES[name])
+        assert sorted(rel.columns) == columns
+        want = Counter(rel.project(", ".join(f'"{c}"' for c in columns)).fetchall())
+    assert Counter(tuple(r) for r in df.select(columns).collect()) == want and want
+
+
+def test_tensor_files_hold_every_tensor(spark):
+    got = {r["doc_id"]: (r["tensors"], r["frames"], r["floats"]) for r in queries.audio_tensor_files(spark, "/root/testdata/sf0.001").collect()}
+    want = queries.op1_audio_features(spark, "/root/testdata/sf0.001").groupBy("doc_id").agg(pieces.F.count("*").alias("n"), pieces.F.sum("frames").alias("f")).collect()
+    assert got == {r["doc_id"]: (r["n"], r["f"], audio.FRAMES * audio.MELS) for r in want} and got
+
+
+def test_minhash_takes_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "something else entirely here")], "name string, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df, "name").collect())) == [("a", "a", True), ("b", "a", False)]
+    assert sorted(r["name"] for r in minhash.deduplicated(df, "name").collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        minhash.signatures(pa.array(["x"]), 100)
