@@ -24,6 +24,8 @@ from tabloom.llm._sample import bounded_sample
 from tabloom.llm._text import as_strings
 
 LANDMARKS = 192
+#: Numbers of grams up to which tables by number are kept.
+DENSE = 1 << 24
 #: Rows of labelled text that the regression is fitted on, at most.
 SAMPLE_ROWS = 1600
 #: Characters of a text that the regression may be fitted on; longer ones are scored like all others.
@@ -44,25 +46,51 @@ def alphabet_of(texts: list[str]) -> np.ndarray:
     return table
 
 
-def grams(text: str, table: np.ndarray) -> np.ndarray:
-    """The numbers of the 1-, 2- and 3-grams over the folded alphabet that occur in the whole text, in order.
+class Grams:
+    """The 1-, 2- and 3-grams over a folded alphabet, by number.
 
     A gram's number is exact: its characters' classes are the digits, and each length has a range of its own.
     """
-    a = np.int64(int(table.max()) + 1)
-    c = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    two = c[:-1] * a + c[1:]
-    return np.unique(np.concatenate([c, a + two, a + a * a + two[:-1] * a + c[2:]]))
 
-
-def presence(sets: list[np.ndarray], columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """float32 [sets, columns]: which of ``columns`` each set has; and the root of each set's size, at least 1."""
-    out = np.zeros((len(sets), len(columns)), np.float32)
-    if len(columns):
+    def __init__(self, table: np.ndarray, columns: np.ndarray | None = None) -> None:
+        self.table, self.a, self.columns = table, int(table.max()) + 1, columns
+        size = self.a + self.a**2 + self.a**3
+        # few numbers are looked up, many are searched for: the same result either way
+        self.last = np.zeros(size, np.int32) if size <= DENSE else None
+        self.where = None
+        if columns is not None and self.last is not None:
+            self.where = np.full(size, -1, np.int32)
+            self.where[columns] = np.arange(len(columns), dtype=np.int32)
+
+    def of(self, text: str) -> np.ndarray:
+        """The distinct grams that occur in the whole text."""
+        a = self.a
+        c = self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        c = c if self.last is not None else c.astype(np.int64)
+        two = c[:-1] * a + c[1:]
+        n = len(c)
+        codes = np.empty(n + max(0, n - 1) + max(0, n - 2), c.dtype)
+        codes[:n] = c
+        codes[n : n + len(two)] = two + a
+        codes[n + len(two) :] = two[:-1] * a + c[2:] + (a + a * a)
+        if self.last is None:
+            return np.unique(codes)
+        # of equal numbers the last one written stays
+        order = np.arange(len(codes), dtype=np.int32)
+        self.last[codes] = order
+        return codes[self.last[codes] == order]
+
+    def presence(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """float32 [sets, columns]: which of the columns each set has; and the root of each set's size, at least 1."""
+        out = np.zeros((len(sets), len(self.columns)), np.float32)
         for row, s in zip(out, sets, strict=True):
-            at = np.searchsorted(columns, s)
-            row[at[columns[np.minimum(at, len(columns) - 1)] == s]] = 1
-    return out, np.sqrt([max(1.0, len(s)) for s in sets])
+            if self.where is not None:
+                at = self.where[s]
+                row[at[at >= 0]] = 1
+            elif len(self.columns):
+                at = np.minimum(np.searchsorted(self.columns, s), len(self.columns) - 1)
+                row[at[self.columns[at] == s]] = 1
+        return out, np.sqrt([max(1.0, len(s)) for s in sets])
 
 
 @dataclass(frozen=True)
@@ -81,9 +109,9 @@ class Classifier:
         return t
 
     def scores(self, texts: list[str], table: np.ndarray, batch: int = 32) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.languages)), np.float32)
+        out, grams = np.zeros((len(texts), len(self.languages)), np.float32), Grams(table, self.columns)
         for i in range(0, len(texts), batch):
-            p, size = presence([grams(t, table) for t in texts[i : i + batch]], self.columns)
+            p, size = grams.presence([grams.of(t) for t in texts[i : i + batch]])
             out[i : i + batch] = (p @ self.weights) / size[:, None]
         return out + self.bias
 
@@ -94,12 +122,13 @@ def train(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ri
     table = alphabet_of(texts)
     if not texts:
         return Classifier((), {}, np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    sets = [grams(t, table) for t in texts]
+    sets = [g.of(t) for g in [Grams(table)] for t in texts]
     columns = np.unique(np.concatenate(sets[:landmarks]))
-    marks_c, self_marks = presence(sets[:landmarks], columns)
+    grams = Grams(table, columns)
+    marks_c, self_marks = grams.presence(sets[:landmarks])
     k_nm = np.zeros((len(texts), len(marks_c)))
     for i in range(0, len(texts), 32):
-        p, size = presence(sets[i : i + 32], columns)
+        p, size = grams.presence(sets[i : i + 32])
         k_nm[i : i + 32] = (p @ marks_c.T) / size[:, None] / self_marks
     values, vectors = np.linalg.eigh(k_nm[: len(marks_c)])
     keep = values > 1e-6 * max(1.0, values.max())
