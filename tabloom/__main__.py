@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import SparkSession
 
 from tabloom.plans.extract import MODES, extract_tables, flat_metrics, legacy_lines, summary
-from tabloom.sources.jsonl import read_jsonl, write_jsonl
+from tabloom.sources.jsonl import numbers_of, read_jsonl, write_jsonl
 
 
 def beside(path: str, ending: str) -> str:
@@ -27,24 +27,32 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+KEYS, FILE = "__keys", "__file"
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = arguments(argv)
     spark = spark or SparkSession.builder.appName("tabloom").getOrCreate()
-    if args.mode == "legacy":
-        source = read_jsonl(spark, args.input, numbered=False)
-        records = extract_tables(source, mode="legacy")
-        legacy_lines(records).show(truncate=False)
-        if args.output:
-            write_jsonl(records, args.output, mode="overwrite")
-        return 0
     output, flat = args.output or beside(args.input, ".table_segments.jsonl"), args.flat_output or beside(args.input, ".table_metrics.flat.jsonl")
-    # the tables are looked for once: both outputs and the counts come from what is staged beside the output
+    # the tables are looked for once: all outputs and the counts come from what is staged beside the output
     staged = f"{output.rstrip('/')}.staged"
-    extract_tables(read_jsonl(spark, args.input), mode=args.mode).write.mode("overwrite").parquet(staged)
+    source = read_jsonl(spark, args.input, keys_col=KEYS, file_col=FILE)
+    numbers = numbers_of(source)
+    order = [FILE, numbers["record_index"]]
+    extract_tables(source, mode=args.mode, keep=tuple(order)).write.mode("overwrite").parquet(staged)
     records = spark.read.parquet(staged)
-    write_jsonl(records, output, order=["record_index"], drop=["record_index", "line_no"], mode="overwrite")
-    write_jsonl(flat_metrics(records), flat, order=["record_index", "table_idx"], mode="overwrite")
-    print(summary(records, args.input, output, flat).toJSON().first())
+    if args.mode == "legacy":
+        # one line for every record, in order, a part at a time
+        for i, r in enumerate(legacy_lines(records.orderBy(*order)).toLocalIterator()):
+            print(f"record {i}: {r['segments']} segments, {r['tables']} tables, similarities [{', '.join(r['similarities'])}]")
+        if args.output:
+            write_jsonl(records, args.output, order=order, drop=order, mode="overwrite")
+    else:
+        given = [c for c in source.columns if c not in (*numbers.values(), KEYS, FILE)]
+        new = ("text_list", "type_list", "table_metrics")
+        write_jsonl(records, output, order=order, drop=[*numbers.values(), FILE], mode="overwrite", keys_col=KEYS, optional=[c for c in given if c not in new])
+        write_jsonl(flat_metrics(records), flat, order=["record_index", "table_idx"], mode="overwrite")
+        print(summary(records, args.input, output, flat).toJSON().first())
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return 0

@@ -10,6 +10,7 @@ from tabloom.functions.pytext import Options
 from tabloom.operators.legacy import legacy_bodies, with_legacy_segments
 from tabloom.operators.matching import with_matches
 from tabloom.operators.segments import chosen_spans, cut_text
+from tabloom.sources.jsonl import numbers_of
 
 METRIC = (
     "table_idx int, peer_content string, peer_body string, matched boolean, extracted_table string, similarity double, match_score double, "
@@ -35,11 +36,13 @@ def extract_tables(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info", m
     """``df`` with ``text_list``, ``type_list`` and ``table_metrics``; in ``legacy`` mode the three legacy columns, and those to ``keep``.
 
     ``segments`` looks for a table's header before it strips the content, ``clean`` after.  A null text counts as an
-    empty one; tables may be null, text, an object, an array or a VARIANT.  Columns of ``df`` that have one of the
+    empty one; tables may be null, text, an object, an array or a VARIANT; ``table_info`` counts where ``tabel_info`` is not there.  Columns of ``df`` that have one of the
     new names are overwritten, all others carried through.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if peers == "tabel_info" and peers not in df.columns and "table_info" in df.columns:
+        peers = "table_info"
     if mode == "legacy":
         base = df.select(*keep, F.coalesce(F.col(ctt).cast("string"), F.lit("")).alias("__text"), legacy_bodies(F.col(peers), df.schema[peers].dataType).alias("__bodies"))
         return with_legacy_segments(base, "__text", "__bodies", least_ratio).select(*keep, "__legacy.*")
@@ -55,8 +58,8 @@ def extract_tables(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info", m
 
 def flat_metrics(records: DataFrame, *keys: str) -> DataFrame:
     """One row for each table: the ``keys`` of its record (``record_index`` and ``line_no`` if it has them), its fields."""
-    keys = keys or tuple(k for k in ("record_index", "line_no") if k in records.columns)
-    return records.select(*keys, F.explode("table_metrics").alias("__m")).select(*keys, "__m.*")
+    names = {k: k for k in keys} or numbers_of(records)
+    return records.select(*[F.col(c).alias(k) for k, c in names.items()], F.explode("table_metrics").alias("__m")).select(*names, "__m.*")
 
 
 def summary(records: DataFrame, source: str = "", output_records: str = "", output_flat: str = "") -> DataFrame:

@@ -136,14 +136,47 @@ def test_files_and_command_line(spark, lines, capsys):
     read = lambda p: [json.loads(x) for f in sorted(p.glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
     records, flat = read(lines.parent / "pages.table_segments.jsonl"), read(lines.parent / "pages.table_metrics.flat.jsonl")
     assert [(r["record_index"], r["line_no"], r["table_idx"]) for r in flat] == [(0, 1, 0), (2, 4, 0), (2, 4, 1)]
-    assert [r["ctt"] for r in records] == [CASES[0][0], "abc", CASES[5][0]] and [r["n"] for r in records] == [1, None, None]
+    assert [r["ctt"] for r in records] == [CASES[0][0], "abc", CASES[5][0]] and [r.get("n") for r in records] == [1, None, None]
     assert records[1]["text_list"] == ["abc"] and records[1]["table_metrics"] == [] and "record_index" not in records[0]
+    assert list(map(set, records))[1] == {"ctt", "text_list", "type_list", "table_metrics"} and "n" not in records[1] and "n" in records[2]
     assert records[0]["tabel_info"] == [{"content": CASES[0][1][0]}] and flat[0]["full_span"] == [6, 23]
     assert not (lines.parent / "pages.table_segments.jsonl.staged").exists()
 
 
-def test_legacy_command_line(spark, lines, tmp_path):
+def test_fields_that_are_named_like_the_numbers_stay(spark, tmp_path, capsys):
+    rows = [{"ctt": "x A<br>B", "tabel_info": [{"content": "A<br>B"}], "line_no": 99}, {"ctt": "q", "record_index": None}]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    got = sorted(read_jsonl(spark, str(tmp_path / "in.jsonl")).collect(), key=lambda r: r["__record_index"])
+    assert [(r["__record_index"], r["__line_no"], r["line_no"], r["record_index"]) for r in got] == [(0, 1, 99, None), (1, 2, None, None)]
+    assert main([str(tmp_path / "in.jsonl")], spark) == 0
+    capsys.readouterr()
+    read = lambda p: [json.loads(x) for f in sorted(p.glob("part-*")) for x in f.read_text().splitlines()]
+    records, flat = read(tmp_path / "in.table_segments.jsonl"), read(tmp_path / "in.table_metrics.flat.jsonl")
+    assert [{k: r.get(k, "none") for k in ("line_no", "record_index", "tabel_info")} for r in records] == [{"line_no": 99, "record_index": "none", "tabel_info": [{"content": "A<br>B"}]}, {"line_no": "none", "record_index": None, "tabel_info": "none"}]
+    assert [(r["record_index"], r["line_no"]) for r in flat] == [(0, 1)]
+
+
+def test_table_info_is_another_name(spark):
+    df = spark.createDataFrame([("q A<br>B r", "[{'content': 'A<br>B'}]")], "ctt string, table_info string")
+    assert extract_tables(df).first()["text_list"] == ["q A<br>", "B", " r"]
+
+
+def test_numbering_moves_no_text(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k} {i}\n" + "\n" * (i % 3 == k) for i in range(50)))
+    df = numbered_lines(spark, str(tmp_path), "file")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0] and "Repartition" not in plan
+    for k in range(3):
+        text = (tmp_path / f"{k}.txt").read_text().split("\n")
+        want = [(t, i + 1) for i, t in enumerate(text) if t]
+        got = sorted((r["record_index"], r["value"], r["line_no"]) for r in df.where(F.col("file").endswith(f"/{k}.txt")).collect())
+        assert got == [(n, t, i) for n, (t, i) in enumerate(want)]
+
+
+def test_legacy_command_line(spark, lines, tmp_path, capsys):
     assert main([str(lines), "-o", str(tmp_path / "out"), "--mode", "legacy"], spark) == 0
+    assert len(capsys.readouterr().out.strip().splitlines()) == 3
     assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out").glob("part-*")) == 3
 
 
