@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -46,10 +45,10 @@ def match_blocks(query: Column, window: Column) -> Column:
     """struct(matched, start, end): characters in common blocks, and the stretch of the window from first to last."""
 
     def of(q: str, w: str) -> dict[str, int]:
-        blocks = [b for b in SequenceMatcher(None, q, w, autojunk=False).get_matching_blocks() if b.size]
+        blocks = pytext.matching_blocks(q, w)
         if not blocks:
             return {"matched": 0, "start": 0, "end": 0}
-        return {"matched": sum(b.size for b in blocks), "start": blocks[0].b, "end": blocks[-1].b + blocks[-1].size}
+        return {"matched": sum(n for _, _, n in blocks), "start": blocks[0][1], "end": blocks[-1][1] + blocks[-1][2]}
 
     @F.arrow_udf(BLOCKS)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:

@@ -16,15 +16,13 @@ from tabloom.functions.peers import peer_contents
 from tabloom.operators.legacy import legacy_bodies, with_legacy_segments
 from tabloom.operators.locate import candidate_windows, exact_start
 from tabloom.operators.matching import with_matches
+from tabloom.operators.passages import passages_in
 from tabloom.operators.segments import chosen_spans, cut_text
 from tabloom.operators.spans import header_and_body
 from tabloom.plans.extract import extract_tables, flat_metrics, summary
 from tabloom.sources.jsonl import numbered_lines
 from tabloom.sources.parquet import spread
 
-#: Rows that a side of a join may have to go to every executor.
-BROADCAST_ROWS = 10_000
-
 
 def page_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, ctt, content): each page and the lines of its navigation, with the breaks of a table."""
@@ -155,12 +153,10 @@ def q16_candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q17_doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold which passage of ``benchmark``, folded; each text is folded once, before the join."""
+    """Which documents hold which passage of ``benchmark``, folded; each text is folded and read once."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", folded_text(F.col("text")).alias("s"))
     passages = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", folded_text(F.col("text")).alias("q"))
-    if passages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        passages = F.broadcast(passages)
-    return docs.join(passages, F.expr("q <> '' AND contains(s, q)")).select("doc_id", "item_id", exact_start(F.col("s"), F.col("q")).cast("long").alias("at"))
+    return passages_in(docs, passages, "doc_id", "s", "item_id", "q")
 
 
 def _thinned(content):
@@ -224,7 +220,7 @@ def q24_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tabloom-lines-")
     path = f"{folder}/lines-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from test_text_rules import CASES
 from tabloom.__main__ import beside, main
 from tabloom.functions import pytext, sql
 from tabloom.functions.similarity import match_blocks, ratio, similarity
+from tabloom.operators.passages import passages_in
 from tabloom.plans.extract import extract_tables, flat_metrics, legacy_lines, summary
 from tabloom.sources.jsonl import numbered_lines, read_jsonl
 from tabloom.streaming.extract import extract_stream, write_stream
@@ -229,3 +230,14 @@ def test_functions_in_sql_and_as_columns(spark):
     assert [x[0] for x in df.select(ratio(F.col("a"), F.col("b"))).collect()] == [0.25, None]
     assert [x[0] for x in df.select(similarity(F.col("a"), F.col("b"))).collect()] == [0.25, None]
     assert tuple(df.select(match_blocks(F.col("a"), F.col("b")).alias("m")).first()["m"]) == (1, 3, 4)
+
+
+def test_passages_against_every_pair(spark):
+    r = random.Random(22)
+    texts = [(i, "".join(r.choice("abc") for _ in range(r.randrange(60)))) for i in range(80)] + [(80, None), (81, "")]
+    passages = [(i, "".join(r.choice("abc") for _ in range(r.randrange(1, 6)))) for i in range(40)] + [(40, ""), (41, None), (42, "abc"), (43, "abc")]
+    want = sorted((i, k, t.find(p)) for i, t in texts if t for k, p in passages if p and p in t)
+    t, p = spark.createDataFrame(texts, "i int, s string"), spark.createDataFrame(passages, "k int, p string")
+    for chars in (1 << 20, 30):
+        assert sorted(map(tuple, passages_in(t, p, "i", "s", "k", "p", chars).collect())) == want
+    assert passages_in(t, p.limit(0), "i", "s", "k", "p").count() == 0 and passages_in(t.limit(0), p, "i", "s", "k", "p").count() == 0

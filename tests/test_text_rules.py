@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -165,3 +166,24 @@ def test_whole_offset_maps_are_those_of_the_rules(spark):
     df = spark.createDataFrame(list(pages.items()), "page_id long, ctt string")
     got = {r["page_id"]: r["offsets"] for r in catalog.offset_maps(df).collect()}
     assert got == {i: pytext.folded(t).offsets for i, t in pages.items() if pytext.folded(t).offsets}
+
+
+def test_blocks_are_the_library_s(monkeypatch):
+    r = random.Random(21)
+    for alphabet, n in (("ab", 40), ("abcdef", 120), ("abcdefghijklmnopqrstuvwxyz é", 300), ("aé😀", 60)):
+        for small in (0, 1 << 19):
+            monkeypatch.setattr(pytext, "_SMALL", small)
+            for _ in range(20):
+                a = "".join(r.choice(alphabet) for _ in range(r.randrange(n)))
+                b = "".join(r.choice(alphabet) for _ in range(r.randrange(n))) if r.random() < 0.5 else "".join(c for c in a if r.random() < 0.9) + "x" * r.randrange(5)
+                want = SequenceMatcher(None, a, b, autojunk=False)
+                got = pytext.matching_blocks(a, b)
+                assert sum(n for _, _, n in got) == sum(m.size for m in want.get_matching_blocks())
+                joined = []
+                for x in got:
+                    if joined and joined[-1][0] + joined[-1][2] == x[0] and joined[-1][1] + joined[-1][2] == x[1]:
+                        joined[-1] = (*joined[-1][:2], joined[-1][2] + x[2])
+                    else:
+                        joined.append(x)
+                assert joined == [tuple(m) for m in want.get_matching_blocks() if m.size]
+                assert pytext.ratio(a, b) == want.ratio()
