@@ -5,7 +5,7 @@ times, its size being ``1 + floor(sqrt(characters))``; the whole part is certain
 is left, documents are ranked by ``(u / (1 - u)) / (p / (1 - p))``, u uniform from a hash of the id: taking the
 least ones, as many as the fractions add up to, is Pareto sampling, of fixed size and inclusion probabilities ~ p.
 
-All shares are exact integers.  The cut of each source is found in two passes: counts by 4096 ranges of the rank
+All shares are exact integers.  The cut of each source is found in two passes: counts by 65536 ranges of the rank
 (map-side sums, so a hot source costs no more than others), then an exact order of the one range the cut lies in.
 """
 
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tabloom.llm._durable import checkpointed
 
 SEED = 20240
-RANGES = 4096
-#: Sources whose quotas may go to every executor, about 100 bytes each.
-BROADCAST_SOURCES = 100_000
+RANGES = 1 << 16
+#: Bytes of the sources' names and quotas that may go to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def _size(text: Column) -> Column:
@@ -43,14 +43,23 @@ def quotas(stats: DataFrame, total: int | None, weights: dict[str, float] | None
     else:
         pairs = [x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(round(v * 1e6)))]
         weight = (F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("__source")), F.lit(0)) if pairs else F.lit(0)).cast("decimal(38,0)")
-    everything = Window.partitionBy(F.lit(1))
-    want = F.sum("__docs").over(everything) if total is None else F.lit(total)
-    part = stats.withColumn("__w", weight).withColumn("__all", F.sum("__w").over(everything).cast("decimal(38,0)")).withColumn("__want", want.cast("decimal(38,0)"))
-    part = part.where("__all > 0").withColumn("__base", F.expr("cast((__want * __w) div __all as long)")).withColumn("__rest", F.expr("(__want * __w) % __all"))
-    place = F.row_number().over(everything.orderBy(F.col("__rest").desc(), F.col("__source").asc_nulls_first()))
-    short = F.col("__want").cast("long") - F.sum("__base").over(everything)
-    part = part.withColumn("__place", place).withColumn("__short", short)
-    return part.select("__source", "__sizes", (F.col("__base") + F.when(F.col("__place") <= F.col("__short"), 1).otherwise(0)).alias("__quota"))
+    stats = checkpointed(stats.withColumn("__w", weight))
+    sums = stats.agg(F.sum("__w").alias("all"), F.sum("__docs").alias("docs")).first()
+    if not sums["all"]:
+        return stats.limit(0).select("__source", "__sizes", F.lit(0).cast("long").alias("__quota"))
+    want = sums["docs"] if total is None else total
+    share = f"cast({want} as decimal(38,0)) * __w"
+    part = stats.withColumns({"__base": F.expr(f"cast(({share}) div cast({sums['all']} as decimal(38,0)) as long)"), "__rest": F.expr(f"({share}) % cast({sums['all']} as decimal(38,0))")})
+    # places in one order over many tasks: a row's number within its task, and how many rows the tasks before have
+    ordered = checkpointed(part.orderBy(F.col("__rest").desc(), F.col("__source").asc_nulls_first()).withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftright("__at", 33)
+    before, given = [], 0
+    for r in sorted(ordered.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.sum("__base").alias("base")).collect()):
+        before.append((r["task"], sum(n for _, _, n in before), r["n"]))
+        given += r["base"]
+    first = F.element_at(F.create_map(*[x for t, n, _ in before for x in (F.lit(t), F.lit(n))]), task)
+    place = F.col("__at") - F.shiftleft(task, 33) + first
+    return ordered.select("__source", "__sizes", (F.col("__base") + (place < want - given).cast("long")).alias("__quota"))
 
 
 def drawn(df: DataFrame, total: int | None = None, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -64,7 +73,8 @@ def drawn(df: DataFrame, total: int | None = None, weights: dict[str, float] | N
     stats = base.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__size").alias("__sizes"))
     plan = checkpointed(quotas(stats, total, weights))
     # one row a source; beyond the bound the join shuffles, and adaptive execution splits what a hot source makes too large
-    small = F.broadcast if plan.count() <= BROADCAST_SOURCES else lambda x: x
+    size = plan.agg(F.sum(F.coalesce(F.octet_length(F.col("__source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    small = F.broadcast if size <= BROADCAST_BYTES else lambda x: x
     # sizes are small whole numbers, so quota x size stays far below 2^63
     share = {
         "__sure": F.expr("(__quota * __size) div __sizes"),

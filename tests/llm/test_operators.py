@@ -469,10 +469,24 @@ def test_inclusion_follows_the_odds(spark):
     assert abs(seen[100] / seen[4] - 11 / 3) < 0.7
 
 
+def test_quotas_of_many_sources_are_those_of_one_order(spark):
+    r = random.Random(23)
+    docs = {f"s{i}": r.choice((1, 1, 1, 2, 7, 50)) for i in range(400)} | {None: 3}
+    stats = spark.createDataFrame([(s, n, 5 * n) for s, n in docs.items()], "__source string, __docs long, __sizes long").repartition(7)
+    w = {s: math.floor(1e6 * math.sqrt(n)) for s, n in docs.items()}
+    for total in (None, 0, 101, 5000):
+        want = sum(docs.values()) if total is None else total
+        base = {s: want * x // sum(w.values()) for s, x in w.items()}
+        order = sorted(docs, key=lambda s: (-(want * w[s] % sum(w.values())), s is not None, s or ""))
+        for s in order[: want - sum(base.values())]:
+            base[s] += 1
+        assert {x["__source"]: x["__quota"] for x in mixing.quotas(stats, total, None).collect()} == base
+
+
 def test_join_beyond_the_bound_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, "x" * i, f"s{i % 5}") for i in range(100)], "doc_id long, text string, source string")
     small = sorted(map(tuple, mixing.allocation(df).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert sorted(map(tuple, mixing.allocation(df).collect())) == small
 
 
