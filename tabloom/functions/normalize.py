@@ -61,6 +61,10 @@ FOLDABLE = rf"^[\t\n\r\f{_stable()}]*$"
 UNKNOWN = "&(?!(?:" + "|".join(re.escape(e[1:]) for e in ENTITIES) + "))[#a-zA-Z0-9]+;"
 
 
+#: No entity that a foldable text has is longer.
+LONGEST_ENTITY = max(map(len, ENTITIES))
+
+
 def _entity_map() -> Column:
     """A literal, once the optimizer has folded it."""
     return F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
@@ -109,27 +113,43 @@ def _folded_size(t: Column) -> Column:
     return F.when(_is_tag(t), 0).when(_is_entity(t), entity).when(t.rlike(r"(?sU)^[\s\p{Cc}\p{Cf}]$"), 0).otherwise(F.length(t))
 
 
-def _offsets(toks: Column, size_of: Callable[[Column], Column], one_place: Callable[[Column], Column], positions: tuple[Column, ...]) -> Column:
-    """One pass over the tokens that keeps two counters and the answers: linear, and no map is ever built."""
-    names = [f"p{i}" for i in range(len(positions))]
-    zero = F.struct(F.lit(0).alias("folded"), F.lit(0).alias("raw"), *[F.lit(-1).alias(n) for n in names], F.array(*positions).alias("at"))
+#: Two lengths in one number, the folded one in front: texts are far shorter than 2^31.
+_HALF = 31
+
+
+def packed_sizes(toks: Column) -> Column:
+    """array<bigint> of each token's folded and raw length in one number."""
+    return F.transform(toks, lambda t: let(_folded_size(t), lambda n: F.shiftleft(n.cast("long"), _HALF) + F.length(t)))
+
+
+def _token_of(sizes: Column, position: Column) -> Column:
+    """The packed lengths of all tokens before the one that makes the folded character at ``position``; null if none does.
+
+    One number is kept while the tokens pass; below zero it stands still.
+    """
 
-    def step(acc: Column, t: Column) -> Column:
-        def advance(size: Column) -> Column:
-            found = []
-            for i, n in enumerate(names):
-                ahead = F.get(acc["at"], F.lit(i)) - acc["folded"]
-                found.append(F.when((ahead >= 0) & (ahead < size), acc["raw"] + F.when(one_place(t), 0).otherwise(ahead)).otherwise(acc[n]).alias(n))
-            return F.struct((acc["folded"] + size).alias("folded"), (acc["raw"] + F.length(t)).alias("raw"), *found, acc["at"].alias("at"))
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(acc < 0, acc).when(F.shiftright(acc + x, _HALF) > position, -acc - 1).otherwise(acc + x)
 
-        return let(size_of(t), advance)
+    return F.aggregate(sizes, F.lit(0).cast("long"), step, lambda acc: F.when((acc < 0) & (position >= 0), -acc - 1))
 
-    return F.aggregate(toks, zero, step)
 
+def raw_offset(raw: Column, sizes: Column, position: Column) -> Column:
+    """Where the folded character at ``position`` comes from in ``raw``, whose tokens' ``packed_sizes`` are given; -1 if nowhere."""
 
-def raw_offsets(toks: Column, *positions: Column) -> Column:
+    def place(before: Column) -> Column:
+        at = before.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("int")
+        ahead = position - F.shiftright(before, _HALF).cast("int")
+        # an entity folds as one unit, so whatever comes from it begins where it does
+        entity = F.substring(raw, at + 1, F.lit(LONGEST_ENTITY)).rlike(r"^&[#a-zA-Z0-9]+;")
+        return F.coalesce(at + F.when((ahead == 0) | entity, 0).otherwise(ahead), F.lit(-1))
+
+    return let(_token_of(sizes, position), place)
+
+
+def raw_offsets(raw: Column, sizes: Column, *positions: Column) -> Column:
     """struct(p0, p1, ...): where the folded characters at ``positions`` come from in the raw text; -1 if nowhere."""
-    return _offsets(toks, _folded_size, _is_entity, positions)
+    return F.struct(*[raw_offset(raw, sizes, p).alias(f"p{i}") for i, p in enumerate(positions)])
 
 
 def token_offsets(t: Column, raw: Column) -> Column:
@@ -142,13 +162,22 @@ def legacy_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LEGACY_TOKEN), F.lit(0))
 
 
-def legacy_raw_offsets(toks: Column, *positions: Column) -> Column:
-    """``raw_offsets`` for the first version's form and ``legacy_tokens``; exact where ``legacy_foldable`` holds."""
+def legacy_sizes(toks: Column) -> Column:
+    """``packed_sizes`` of the first version's tokens; exact where ``legacy_foldable`` holds."""
 
     def size(t: Column) -> Column:
         return F.when((t.startswith("<") & (F.length(t) > 1)) | t.rlike(r"^[ \n\r\t]+$"), 0).otherwise(F.length(t))
 
-    return _offsets(toks, size, lambda t: F.lit(False), positions)
+    return F.transform(toks, lambda t: F.shiftleft(size(t).cast("long"), _HALF) + F.length(t))
+
+
+def legacy_raw_offset(sizes: Column, position: Column) -> Column:
+    """As ``raw_offset``; this form knows no entities."""
+
+    def place(before: Column) -> Column:
+        return F.coalesce(before.bitwiseAND(F.lit((1 << _HALF) - 1)).cast("int") + position - F.shiftright(before, _HALF).cast("int"), F.lit(-1))
+
+    return let(_token_of(sizes, position), place)
 
 
 def legacy_foldable(text: Column) -> Column:

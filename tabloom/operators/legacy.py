@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import pytext
 from tabloom.functions.columns import barrier, let, strip
-from tabloom.functions.normalize import legacy_body, legacy_foldable, legacy_folded_text, legacy_raw_offsets, legacy_tokens
+from tabloom.functions.normalize import legacy_body, legacy_foldable, legacy_folded_text, legacy_raw_offset, legacy_sizes, legacy_tokens
 from tabloom.operators.segments import cut_text
 
 RESULT = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("segments", T.StringType()), ("types", T.IntegerType()), ("similarities", T.DoubleType()))])
@@ -41,17 +41,20 @@ def legacy_bodies(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(bodies(let(parsed, texts)), F.array().cast(STRINGS))
 
 
+def _dense(raw: Column) -> Column:
+    """The first version's form of a foldable text, as its tokens spell it: what blanks part is still one ``<br>``."""
+    return F.lower(F.regexp_replace(raw, F.lit(r"(?isU)<[ \n\r\t]*b[ \n\r\t]*r\s*/?\s*>|[ \n\r\t]+"), F.lit("")))
+
+
 def _exact(raw: Column, bodies: Column) -> Column:
     """The result of a record whose tables all occur as they are; null for others."""
 
-    def with_tokens(toks: Column) -> Column:
-        kept = F.transform(toks, lambda t: F.when((t.startswith("<") & (F.length(t) > 1)) | t.rlike(r"^[ \n\r\t]+$"), "").otherwise(F.lower(t)))
-
+    def with_sizes(sizes: Column) -> Column:
         def with_source(source: Column) -> Column:
             def span(body: Column, i: Column) -> Column:
                 def place(query: Column) -> Column:
                     at = F.position(query, source) - 1
-                    offs = let(at, lambda a: legacy_raw_offsets(toks, a, a + F.length(query) - 1))
+                    offs = let(at, lambda a: F.struct(legacy_raw_offset(sizes, a).alias("p0"), legacy_raw_offset(sizes, a + F.length(query) - 1).alias("p1")))
                     hit = legacy_foldable(body) & (query != "") & (at >= 0)
                     return F.when(hit, let(offs, lambda o: F.struct(o["p0"].alias("start"), (o["p1"] + 1).alias("end"), i.alias("idx")).cast(_SPAN)))
 
@@ -59,7 +62,7 @@ def _exact(raw: Column, bodies: Column) -> Column:
 
             return F.transform(bodies, span)
 
-        return let(F.array_join(kept, ""), with_source)
+        return let(_dense(raw), with_source)
 
     def cut(spans: Column) -> Column:
         # the same text on either side, so every similarity is 1
@@ -69,7 +72,7 @@ def _exact(raw: Column, bodies: Column) -> Column:
         return F.when(~F.exists(spans, lambda s: s.isNull()), row.cast("struct<segments:array<string>,types:array<int>,similarities:array<double>>"))
 
     whole = F.struct(F.array(raw).alias("segments"), F.array(F.lit(0)).alias("types"), F.array().cast("array<double>").alias("similarities"))
-    return F.when(F.size(bodies) == 0, whole).when(legacy_foldable(raw), let(let(legacy_tokens(raw), with_tokens), cut))
+    return F.when(F.size(bodies) == 0, whole).when(legacy_foldable(raw), let(let(legacy_sizes(legacy_tokens(raw)), with_sizes), cut))
 
 
 def with_legacy_segments(df: DataFrame, raw: str, bodies: str, least: float = 0.5, out: str = "__legacy") -> DataFrame:

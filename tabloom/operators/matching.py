@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import pytext
 from tabloom.functions.columns import barrier, let
-from tabloom.functions.normalize import foldable, folded_token, tokens
+from tabloom.functions.normalize import foldable, folded_text, packed_sizes, tokens
 from tabloom.functions.pytext import Options
 from tabloom.operators.spans import ROW, ROW_TYPE, plain_match
 
@@ -46,10 +46,10 @@ def with_matches(df: DataFrame, raw: str, contents: str, out: str = "__matches",
     text, peers = F.col(raw), F.col(contents)
     empty = F.array().cast(f"array<{ROW_TYPE}>")
 
-    def decide(toks: Column) -> Column:
-        return let(F.array_join(F.transform(toks, folded_token), ""), lambda source: F.transform(peers, lambda c, i: plain_match(text, toks, source, c, i, o)))
+    def decide(sizes: Column) -> Column:
+        return let(folded_text(text), lambda source: F.transform(peers, lambda c, i: plain_match(text, sizes, source, c, i, o)))
 
-    easy = F.when(F.size(peers) == 0, empty).when(foldable(text), let(tokens(text), decide)).otherwise(F.transform(peers, lambda c: F.lit(None).cast(ROW_TYPE)))
+    easy = F.when(F.size(peers) == 0, empty).when(foldable(text), let(packed_sizes(tokens(text)), decide)).otherwise(F.transform(peers, lambda c: F.lit(None).cast(ROW_TYPE)))
     open_ = F.filter(F.transform(peers, lambda c, i: F.when(F.get(F.col("__easy"), i).isNull(), F.struct(i.alias("idx"), c.alias("content")))), lambda x: x.isNotNull())
     stepped = df.withColumn("__easy", easy).withColumn("__open", open_)
     hard = F.size("__open") > 0

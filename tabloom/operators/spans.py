@@ -67,7 +67,7 @@ def _row(idx: Column, content: Column, body: Column, **found: Column) -> Column:
     return F.struct(*[v.alias(k) for k, v in values.items()]).cast(ROW_TYPE)
 
 
-def plain_match(raw: Column, toks: Column, source: Column, content: Column, idx: Column, o: Options) -> Column:
+def plain_match(raw: Column, sizes: Column, source: Column, content: Column, idx: Column, o: Options) -> Column:
     """The row of a table that occurs as it is or cannot occur; null for whatever these expressions cannot decide.
 
     A position that comes from a visible character is never blank, so there is nothing to trim.  The header of a
@@ -76,6 +76,7 @@ def plain_match(raw: Column, toks: Column, source: Column, content: Column, idx:
 
     def placed(query: Column, peer: Column, at: Column) -> Column:
         n, header = F.length(query), peer["header"]
+        skip = F.coalesce(header, F.lit(0))
 
         def cut(p: Column) -> Column:
             begin, end = p["p0"], p["p1"] + 1
@@ -83,9 +84,11 @@ def plain_match(raw: Column, toks: Column, source: Column, content: Column, idx:
             text = slice_of(raw, body, end)
             clear = F.when(header.isNull(), ~slice_of(raw, begin, end).rlike(BREAKS)).otherwise(header < n)
             row = _row(idx, content, peer["body"], full_start=begin, full_end=end, body_start=body, body_end=end, text=text)
-            return F.when(clear & (folded_text(text) == folded_text(peer["body"])), row)
+            # the text folds to its part of the source, unless an entity at its end is cut after its first character
+            own = F.when(slice_of(raw, p["p1"], end) == "&", folded_text(text)).otherwise(slice_of(source, at + skip, at + n))
+            return F.when(clear & (own == folded_text(peer["body"])), row)
 
-        return let(raw_offsets(toks, at, at + n - 1, at + F.coalesce(header, F.lit(0))), cut)
+        return let(raw_offsets(raw, sizes, at, at + n - 1, at + skip), cut)
 
     def found(query: Column) -> Column:
         def with_peer(peer: Column) -> Column:

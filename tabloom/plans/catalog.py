@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.normalize import folded_text, legacy_body, legacy_folded_text, raw_offsets, token_kind, token_offsets, tokens
+from tabloom.functions.normalize import folded_text, legacy_body, legacy_folded_text, token_kind, token_offsets, tokens
 from tabloom.functions.peers import peer_contents
 from tabloom.operators.legacy import legacy_bodies, with_legacy_segments
 from tabloom.operators.locate import candidate_windows, exact_start

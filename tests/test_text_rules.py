@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions import pytext
-from tabloom.functions.normalize import foldable, folded_text, legacy_folded_text, raw_offsets, tokens
+from tabloom.functions.normalize import foldable, folded_text, legacy_folded_text, packed_sizes, raw_offset, tokens
 from tabloom.operators.locate import candidate_windows, exact_start
 from tabloom.operators.spans import first_break, header_and_body, trimmed
 
@@ -51,7 +51,7 @@ def many(spark):
 def test_expressions_fold_as_the_rules_do(many):
     rows, df = many
     length = F.length(folded_text(F.col("raw")))
-    out = df.select("i", foldable(F.col("raw")).alias("ok"), folded_text(F.col("raw")).alias("t"), F.transform(F.sequence(F.lit(0), length), lambda k: raw_offsets(tokens(F.col("raw")), k)["p0"]).alias("o"))
+    out = df.select("i", foldable(F.col("raw")).alias("ok"), folded_text(F.col("raw")).alias("t"), F.transform(F.sequence(F.lit(0), length), lambda k: raw_offset(F.col("raw"), packed_sizes(tokens(F.col("raw"))), k)).alias("o"))
     decided = 0
     for r in out.collect():
         want = pytext.folded(rows[r["i"]])
