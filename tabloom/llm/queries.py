@@ -93,6 +93,13 @@ def secret_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", F.size("r").cast("long").alias("runs"), F.md5(F.array_join("r", " ")).alias("digest"))
 
 
+def audio_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of sound of op1 with their spans, of the same clips at 16 kHz, where no resampling comes before."""
+    clips = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("clip"))
+    chunks = audio.features(clips, rate=audio.RATE, width=1).drop("tensor")
+    return chunks.groupBy("doc_id", "segment").agg(F.sum("frames").alias("frames"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"))
+
+
 def audio_tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tensors of op1 through files whose column has Arrow's fixed-shape type: how many a clip has, and their frames."""
     folder = f"{shared_folder(spark)}/tensors-{uuid.uuid4().hex}"
@@ -107,12 +114,24 @@ def audio_tensor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_audio_features, op2_language_id, op3_html_extraction, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan, near_vectors_at_040, exact_copies, piece_round_trip, secret_runs, audio_tensor_files)
+    for f in (op1_audio_features, op2_language_id, op3_html_extraction, op4_toxicity, op5_pii, op6_minhash_neardup, op7_source_mixing, op8_sentencepiece, op9_embedding_neardup, op10_secret_scan, near_vectors_at_040, exact_copies, piece_round_trip, secret_runs, audio_segments, audio_tensor_files)
 }
 ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op9_embedding_neardup": embeddings.ORACLE, "near_vectors_at_040": embeddings.oracle(0.4)}
 ORACLES |= {
     "exact_copies": """WITH c AS (SELECT doc_id, text, count(*) OVER (PARTITION BY text) AS n, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE trim(text) <> '')
 SELECT doc_id, first_id, true AS together FROM c WHERE n > 1""",
+    # levels from running sums of whole numbers; a frame that decides nothing has the state of the last that did
+    "audio_segments": f"""WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text <> ''),
+v AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, unnest(list_transform(h, lambda x: CAST('0x' || x AS BIGINT) - 128)) AS v FROM b),
+s AS (SELECT doc_id, i, sum(v) OVER w AS s1, sum(v * v) OVER w AS s2 FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, len(h) AS n, unnest(range(0, CASE WHEN len(h) <= {audio.WINDOW} THEN 1 ELSE (len(h) - {audio.WINDOW} + {audio.HOP - 1}) // {audio.HOP} + 1 END)) AS f FROM b),
+l AS (SELECT n.doc_id, n, f, (e.s2 - coalesce(a.s2, 0))::DOUBLE / 16384 / {audio.WINDOW} AS square, (e.s1 - coalesce(a.s1, 0))::DOUBLE / 128 / {audio.WINDOW} AS mean
+  FROM n JOIN s e ON e.doc_id = n.doc_id AND e.i = least(n, f * {audio.HOP} + {audio.WINDOW}) LEFT JOIN s a ON a.doc_id = n.doc_id AND a.i = f * {audio.HOP}),
+d AS (SELECT doc_id, n, f, 10 * log10(greatest(square - mean * mean, 1e-12::DOUBLE)) AS level FROM l),
+o AS (SELECT doc_id, n, f, coalesce(last_value(CASE WHEN level >= {audio.HIGH} THEN 1 WHEN level < {audio.LOW} THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS sound FROM d),
+g AS (SELECT *, sum(CASE WHEN sound = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY f) AS k FROM (SELECT *, lag(sound, 1, 0) OVER (PARTITION BY doc_id ORDER BY f) AS before FROM o))
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS segment, count(*) AS frames, min(f) * {audio.HOP}::DOUBLE / {audio.RATE} AS start_s, least(any_value(n), max(f) * {audio.HOP} + {audio.WINDOW})::DOUBLE / {audio.RATE} AS end_s
+FROM g WHERE sound = 1 GROUP BY doc_id, k""",
     # the map of compatibility forms changes none of these texts, so they come back as they are
     "piece_round_trip": "SELECT doc_id, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes FROM documents",
     "secret_runs": """SELECT doc_id, CAST(len(r) AS BIGINT) AS runs, md5(array_to_string(r, ' ')) AS digest

@@ -764,6 +764,17 @@ def test_tensor_files_hold_every_tensor(spark):
     assert got == {r["doc_id"]: (r["n"], r["f"], audio.FRAMES * audio.MELS) for r in want} and got
 
 
+def test_tensor_files_of_nothing_and_of_null_ids(spark, tmp_path):
+    tone = _wav(0.5 * np.sin(2 * np.pi * 440 * np.arange(4000) / 16_000), 2)
+    df = spark.createDataFrame([(None, tone), (1, None)], "doc_id long, clip binary")
+    files = audio.store(audio.features(df), str(tmp_path / "one")).collect()
+    table = pa.concat_tables([pq.read_table(r["file"]) for r in files])
+    assert set(table.column("doc_id").to_pylist()) == {None} and table.schema.field("tensor").type.shape == [audio.FRAMES, audio.MELS]
+    assert audio.store(audio.features(df.limit(0)), str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        audio.store(audio.features(df), "hdfs://somewhere/else")
+
+
 def test_minhash_takes_ids_of_any_type(spark):
     df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), ("c", "something else entirely here")], "name string, text string")
     assert sorted(map(tuple, minhash.near_duplicates(df, "name").collect())) == [("a", "a", True), ("b", "a", False)]
