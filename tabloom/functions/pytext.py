@@ -152,9 +152,9 @@ def quoted(text: str, at: int) -> tuple[str, int]:
             out.append(text[i])
             i += 1
             continue
-        code = text[i + 2 : i + 6] if text[i + 1] == "u" and i + 5 < n else ""
+        four = text[i + 2 : i + 6] if text[i + 1] == "u" and i + 5 < n else ""
         try:
-            out.append(chr(int(code, 16)))
+            out.append(chr(int(four, 16)))
             i += 6
         except ValueError:
             out.append(_PLAIN_ESCAPES.get(text[i + 1], text[i + 1]))

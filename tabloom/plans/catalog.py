@@ -418,7 +418,7 @@ SELECT page_id, CAST(pos AS BIGINT) AS start, md5(body) AS digest, '010' AS type
     + """, s AS (SELECT page_id, 0 AS k, 0 AS type, substr(html, 1, s1) AS t FROM t UNION ALL SELECT page_id, 1, 1, substr(html, s1 + 1, e1 - s1) FROM t UNION ALL SELECT page_id, 2, 0, substr(html, e1 + 1, s2 - e1) FROM t
   UNION ALL SELECT page_id, 3, 1, substr(html, s2 + 1, e2 - s2) FROM t UNION ALL SELECT page_id, 4, 0, substr(html, e2 + 1) FROM t)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS BIGINT) AS seq, CAST(type AS INTEGER) AS type, md5(t) AS digest FROM s WHERE t <> ''""",
-    "q30_legacy_two": r"""WITH b AS (SELECT page_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS one, regexp_extract(html, '(?s)<nav>.*?(<li>.*?</li><li>.*?</li><li>.*?</li>)', 1) AS two FROM pages),
+    "q30_legacy_two": r"""WITH b AS (SELECT page_id, html, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), E' \n\r\t') AS one, regexp_extract(html, '(?s)<nav>.*?(<li>.*?</li><li>.*?</li><li>.*?</li>)', 1) AS two FROM pages),
 m AS (SELECT page_id, html, one, two, strpos(html, one) - 1 AS s1, strpos(html, two) - 1 AS s2 FROM b),
 s AS (SELECT page_id, 0 AS k, 0 AS type, substr(html, 1, s1) AS t FROM m UNION ALL SELECT page_id, 1, 1, one FROM m UNION ALL SELECT page_id, 2, 0, substr(html, s1 + length(one) + 1, s2 - s1 - length(one)) FROM m
   UNION ALL SELECT page_id, 3, 1, two FROM m UNION ALL SELECT page_id, 4, 0, substr(html, s2 + length(two) + 1) FROM m)
