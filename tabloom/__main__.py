@@ -28,6 +28,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 KEYS, FILE = "__keys", "__file"
+#: Characters of a noisy table from which its windows are worked on apart.
+LONG_TABLES = 4000
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -39,7 +41,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     source = read_jsonl(spark, args.input, keys_col=KEYS, file_col=FILE)
     numbers = numbers_of(source)
     order = [FILE, numbers["record_index"]]
-    extract_tables(source, mode=args.mode, keep=tuple(order)).write.mode("overwrite").parquet(staged)
+    extract_tables(source, mode=args.mode, keep=tuple(order), long_tables=LONG_TABLES).write.mode("overwrite").parquet(staged)
     records = spark.read.parquet(staged)
     if args.mode == "legacy":
         # one line for every record, in order, a part at a time

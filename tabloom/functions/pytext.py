@@ -10,6 +10,7 @@ import html
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import Any, NamedTuple
@@ -231,26 +232,35 @@ def _may_cover(query: str, window: str, least: float) -> bool:
     return sum(min(query.count(c), window.count(c)) for c in set(query)) / len(query) >= least
 
 
+def open_windows(source: str, query: str, o: Options = Options()) -> list[tuple[int, int]]:
+    """The windows that a copy of a query which does not occur as it is can be in."""
+    return [(b, e) for b, e in windows(source, query, o) if _may_cover(query, source[b:e], o.least_coverage)]
+
+
+def placed(query: str, window: str, o: Options = Options()) -> tuple[float, int, int] | None:
+    """(score, start, end) of the noisy copy in a window, or None if too little of the query is in it."""
+    blocks = matching_blocks(query, window)
+    size = sum(n for _, _, n in blocks)
+    if not blocks or size / len(query) < o.least_coverage:
+        return None
+    first, last = blocks[0][1], blocks[-1][1] + blocks[-1][2]
+    return size / len(query) * o.weights[0] + size / max(1, last - first) * o.weights[1], first, last
+
+
+def exact(source: str, query: str) -> Place | None:
+    at = source.find(query) if source and query else -1
+    return Place(at, at + len(query), 1.0, "exact") if at >= 0 else None
+
+
 def locate(source: str, query: str, o: Options = Options()) -> Place | None:
     """First exact place; else the best-scored window (of equal ones the first)."""
-    if not source or not query:
-        return None
-    at = source.find(query)
-    if at >= 0:
-        return Place(at, at + len(query), 1.0, "exact")
+    if found := exact(source, query):
+        return found
     best = None
-    for begin, end in windows(source, query, o):
-        window = source[begin:end]
-        if not _may_cover(query, window, o.least_coverage):
-            continue
-        blocks = matching_blocks(query, window)
-        size = sum(n for _, _, n in blocks)
-        if not blocks or size / len(query) < o.least_coverage:
-            continue
-        first, last = blocks[0][1], blocks[-1][1] + blocks[-1][2]
-        score = size / len(query) * o.weights[0] + size / max(1, last - first) * o.weights[1]
-        if best is None or score > best.score:
-            best = Place(begin + first, begin + last, score, "fuzzy")
+    for begin, end in open_windows(source, query, o):
+        hit = placed(query, source[begin:end], o)
+        if hit and (best is None or hit[0] > best.score):
+            best = Place(begin + hit[1], begin + hit[2], hit[0], "fuzzy")
     return best
 
 
@@ -277,13 +287,13 @@ def first_break(span: str) -> int | None:
     return None
 
 
-def match(raw: str, source: Folded, content: str, idx: int, o: Options = Options()) -> dict[str, Any]:
-    """One peer's row; ``exact_score`` and ``exact_similarity`` are not rounded."""
+def match(raw: str, source: Folded, content: str, idx: int, o: Options = Options(), find: Callable[[str, str, Options], Place | None] = locate) -> dict[str, Any]:
+    """One peer's row; ``exact_score`` and ``exact_similarity`` are not rounded.  ``find`` says where the folded content is."""
     body, header = header_and_body(content, o.stripped)
     row = dict.fromkeys(("full_start", "full_end", "body_start", "body_end"))
     row |= {"table_idx": idx, "peer_content": content, "peer_body": body, "matched": False, "extracted_table": "", "exact_similarity": 0.0, "exact_score": 0.0, "match_mode": "unmatched"}
     query = folded(content)
-    place = locate(source.text, query.text, o)
+    place = find(source.text, query.text, o)
     if place is None:
         return row
     start, end = trimmed(raw, source.offsets[place.start], source.offsets[place.end - 1] + 1)

@@ -32,12 +32,13 @@ def with_contents(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info") ->
     return df.withColumns({"__text": F.coalesce(F.col(ctt).cast("string"), F.lit("")), "__contents": peer_contents(F.col(peers), df.schema[peers].dataType)})
 
 
-def extract_tables(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info", mode: str = "clean", options: Options = Options(), least_ratio: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract_tables(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info", mode: str = "clean", options: Options = Options(), least_ratio: float = 0.5, keep: tuple[str, ...] = (), long_tables: int | None = None) -> DataFrame:
     """``df`` with ``text_list``, ``type_list`` and ``table_metrics``; in ``legacy`` mode the three legacy columns, and those to ``keep``.
 
     ``segments`` looks for a table's header before it strips the content, ``clean`` after.  A null text counts as an
     empty one; tables may be null, text, an object, an array or a VARIANT; ``table_info`` counts where ``tabel_info`` is not there.  Columns of ``df`` that have one of the
-    new names are overwritten, all others carried through.
+    new names are overwritten, all others carried through.  ``long_tables``, for batches, deals the windows of noisy tables
+    of more characters than that out over the tasks.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -46,7 +47,7 @@ def extract_tables(df: DataFrame, ctt: str = "ctt", peers: str = "tabel_info", m
     if mode == "legacy":
         base = df.select(*keep, F.coalesce(F.col(ctt).cast("string"), F.lit("")).alias("__text"), legacy_bodies(F.col(peers), df.schema[peers].dataType).alias("__bodies"))
         return with_legacy_segments(base, "__text", "__bodies", least_ratio).select(*keep, "__legacy.*")
-    base = with_matches(with_contents(df, ctt, peers), "__text", "__contents", o=options._replace(stripped=mode == "clean"))
+    base = with_matches(with_contents(df, ctt, peers), "__text", "__contents", o=options._replace(stripped=mode == "clean"), long_tables=long_tables)
     pieces = base.withColumn("__pieces", cut_text(F.col("__text"), chosen_spans(F.col("__matches"))))
     new = {
         "text_list": F.transform("__pieces", lambda p: p["text"]),

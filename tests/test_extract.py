@@ -84,6 +84,15 @@ def test_records_are_those_of_the_rules(spark, random_records, mode):
     assert modes == {"exact", "fuzzy", "unmatched"} and len(got) == len(random_records)
 
 
+def test_windows_dealt_out_give_the_same_records(spark, random_records):
+    df = _frame(spark, random_records).repartition(3)
+    by = lambda rows: sorted((str(r.asDict(recursive=True)) for r in rows))
+    plain = by(extract_tables(df).collect())
+    for most in (0, 12):
+        assert by(extract_tables(df, long_tables=most).collect()) == plain
+    assert any("fuzzy" in r for r in plain)
+
+
 def test_worked_segments(spark):
     got = {r["i"]: (r["text_list"], r["type_list"]) for r in extract_tables(_frame(spark, [c[:2] for c in CASES])).collect()}
     assert {i: got[i] for i in SEGMENTS} == SEGMENTS
