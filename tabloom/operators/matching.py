@@ -60,7 +60,7 @@ def _windows(raw: Column, content: Column, o: Options) -> Column:
                 out.append([{"begin": b, "stop": e, "query": query, "window": source[b:e]} for b, e in open_])
             yield pa.array(out, _WINDOWS)
 
-    return run(raw, content)
+    return barrier(run)(raw, content)
 
 
 def _scored(query: Column, window: Column, o: Options) -> Column:
@@ -72,7 +72,7 @@ def _scored(query: Column, window: Column, o: Options) -> Column:
             hits = [pytext.placed(q, w, o) for q, w in zip(queries.to_pylist(), windows.to_pylist(), strict=True)]
             yield pa.array([h and dict(zip(("score", "start", "end"), h, strict=True)) for h in hits], pa.struct([("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    return run(query, window)
+    return barrier(run)(query, window)
 
 
 def _rest_of_long(raw: Column, open_: Column, places: Column, o: Options, long_tables: int) -> Column:
