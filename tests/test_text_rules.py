@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabloom.functions import pytext
+from tabloom.functions import pytext, sweep
 from tabloom.functions.normalize import foldable, folded_text, legacy_folded_text, packed_sizes, raw_offset, tokens
 from tabloom.operators.locate import candidate_windows, exact_start
 from tabloom.operators.spans import first_break, header_and_body, trimmed
@@ -187,3 +187,45 @@ def test_blocks_are_the_library_s(monkeypatch):
                         joined.append(x)
                 assert joined == [tuple(m) for m in want.get_matching_blocks() if m.size]
                 assert pytext.ratio(a, b) == want.ratio()
+
+
+def _plain_sweep(source, body, least):
+    """The first version's sweep, every window measured."""
+    m = len(body)
+    if (at := source.find(body)) >= 0:
+        return at, at + m
+    step, best, where = max(1, m // 4), 0.0, 0
+
+    def over(starts):
+        nonlocal best, where
+        for s in starts:
+            if (r := SequenceMatcher(None, body, source[s : s + m]).ratio()) > best:
+                best, where = r, s
+
+    last = len(source) - m + 1
+    over(range(0, last, step))
+    over(range(max(0, where - step), min(last, where + step + 1)))
+    return (where, where + m) if best > least else None
+
+
+def test_the_bounded_sweep_finds_what_the_whole_sweep_finds(monkeypatch):
+    r = random.Random(23)
+    measured, whole, windows = [], sweep._matched, 0
+    monkeypatch.setattr(sweep, "_matched", lambda *a: measured.append(a) or whole(*a))
+    for _ in range(300):
+        letters = r.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz<>/5ß"])
+        source = "".join(r.choice(letters) for _ in range(r.choice((0, 3, 40, 300, 900))))
+        at = r.randrange(len(source) + 1)
+        body = list(source[at : at + r.choice((1, 9, 60, 190, 230, 600))]) or ["a"]
+        for _ in range(1 + len(body) // r.choice((2, 6, 11))):
+            k = r.randrange(len(body) + 1)
+            body[k : k + r.randrange(2)] = r.choice(("", "", "X", r.choice(letters)))
+        body, least = "".join(body), r.choice((0.0, 0.3, 0.5))
+        assert pytext.legacy_place(source, body, least) == _plain_sweep(source, body, least)
+        assert sweep.ratio(body, source) == SequenceMatcher(None, body, source).ratio()
+    measured.clear()
+    source = "".join(f'<li><ahref="/{w}">{w}</a></li>' for w in ("".join(r.choice("etaoins") for _ in range(r.randrange(2, 9))) for _ in range(200)))
+    body = "".join(c for i, c in enumerate(source[900:1090]) if (i + 1) % 11)
+    windows = len(range(0, len(source), len(body) // 4)) + len(body) // 2
+    assert pytext.legacy_place(source, body) == _plain_sweep(source, body, 0.5) is not None
+    assert len(measured) < windows / 4
