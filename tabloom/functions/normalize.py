@@ -104,6 +104,11 @@ def folded_text(text: Column) -> Column:
     return F.when(~text.rlike(r"&[#a-zA-Z0-9]+;"), plain).otherwise(_by_tokens(text))
 
 
+def visible(text: Column) -> Column:
+    """Whether a foldable text folds to something, which its first character that is not blank most often says."""
+    return text.rlike(r"(?sU)^[\s\p{Cc}\p{Cf}]*+[^<&\s\p{Cc}\p{Cf}]") | (folded_text(text) != "")
+
+
 def _by_tokens(text: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(tokens(text), folded_token), ""), F.lit(""))
 

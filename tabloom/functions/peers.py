@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tabloom.functions import pytext
 from tabloom.functions.columns import barrier, let, strip
-from tabloom.functions.normalize import foldable, folded_text
+from tabloom.functions.normalize import foldable, visible
 
 STRINGS = T.ArrayType(T.StringType())
 
@@ -67,16 +67,16 @@ def peer_contents(value: Column, kind: T.DataType) -> Column:
     blank = value.isNull() | (F.coalesce(text.isNotNull(), F.lit(False)) & (strip(F.coalesce(text, F.lit(""))) == ""))
     hard = direct.isNull() & ~blank
     slow = barrier(_fallback)(F.when(hard, written), F.when(hard, text.isNotNull()))
-    return F.when(blank, F.array().cast(STRINGS)).otherwise(F.coalesce(F.filter(direct, lambda s: folded_text(s) != ""), slow, F.array().cast(STRINGS)))
+    return F.when(blank, F.array().cast(STRINGS)).otherwise(F.coalesce(F.filter(direct, visible), slow, F.array().cast(STRINGS)))
 
 
 @F.arrow_udf(STRINGS)
 def _keep(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in lists:
-        yield pa.array([None if x is None else [s for s in x if s is not None and pytext.folded(s).text] for x in column.to_pylist()], pa.list_(pa.string()))
+        yield pa.array([None if x is None else [s for s in x if s is not None and pytext.folded_text(s)] for x in column.to_pylist()], pa.list_(pa.string()))
 
 
 def _kept(contents: Column) -> Column:
     """Of a plain array of contents those that fold to something."""
     easy = F.forall(contents, lambda s: s.isNull() | foldable(s))
-    return F.when(easy, F.filter(contents, lambda s: s.isNotNull() & (folded_text(s) != ""))).otherwise(barrier(_keep)(F.when(~easy, contents)))
+    return F.when(easy, F.filter(contents, lambda s: s.isNotNull() & visible(s))).otherwise(barrier(_keep)(F.when(~easy, contents)))

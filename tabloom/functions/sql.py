@@ -18,7 +18,7 @@ def register(spark: SparkSession) -> None:
     @F.arrow_udf(T.StringType())
     def fold(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in column:
-            yield pa.array([None if t is None else pytext.folded(t).text for t in texts.to_pylist()], pa.string())
+            yield pa.array([None if t is None else pytext.folded_text(t) for t in texts.to_pylist()], pa.string())
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def contents(column: Iterator[pa.Array]) -> Iterator[pa.Array]:

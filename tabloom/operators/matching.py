@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import pytext
-from tabloom.functions.columns import barrier, let
-from tabloom.functions.normalize import foldable, folded_text, packed_sizes, tokens
+from tabloom.functions.columns import barrier, let, strip
+from tabloom.functions.normalize import BREAKS, foldable, folded_text, packed_sizes, tokens
 from tabloom.functions.pytext import Options
 from tabloom.operators.spans import ROW, ROW_TYPE, plain_match
 
@@ -55,7 +55,7 @@ def _windows(raw: Column, content: Column, o: Options) -> Column:
         for texts, contents in batches:
             out = []
             for text, content in zip(texts.to_pylist(), contents.to_pylist(), strict=True):
-                source, query = pytext.folded(text).text, pytext.folded(content).text
+                source, query = pytext.folded_text(text), pytext.folded_text(content)
                 open_ = [] if pytext.exact(source, query) else pytext.open_windows(source, query, o)
                 out.append([{"begin": b, "stop": e, "query": query, "window": source[b:e]} for b, e in open_])
             yield pa.array(out, _WINDOWS)
@@ -132,7 +132,9 @@ def with_matches(df: DataFrame, raw: str, contents: str, out: str = "__matches",
     def decide(sizes: Column) -> Column:
         return let(folded_text(text), lambda source: F.transform(peers, lambda c, i: plain_match(text, sizes, source, c, i, o)))
 
-    easy = F.when(F.size(peers) == 0, empty).when(foldable(text), let(packed_sizes(tokens(text)), decide)).otherwise(F.transform(peers, lambda c: F.lit(None).cast(ROW_TYPE)))
+    # where such a table is, breaks of the text say where its body begins: mostly undecided, and dearer to look at twice
+    unbroken = text.rlike(BREAKS) & F.forall(peers, lambda c: ~strip(c).rlike(BREAKS))
+    easy = F.when(F.size(peers) == 0, empty).when(~unbroken & foldable(text), let(packed_sizes(tokens(text)), decide)).otherwise(F.transform(peers, lambda c: F.lit(None).cast(ROW_TYPE)))
     open_ = F.filter(F.transform(peers, lambda c, i: F.when(F.get(F.col("__easy"), i).isNull(), F.struct(i.alias("idx"), c.alias("content")))), lambda x: x.isNotNull())
     stepped = df.withColumn("__easy", easy).withColumn("__open", open_)
     hard = F.size("__open") > 0

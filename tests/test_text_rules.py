@@ -1,8 +1,11 @@
 """The worked cases of single values, and the column expressions against them."""
 
+import html
 import json
 import math
 import random
+import re
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
@@ -11,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabloom.functions import pytext, sweep
-from tabloom.functions.normalize import foldable, folded_text, legacy_folded_text, packed_sizes, raw_offset, tokens
+from tabloom.functions.normalize import foldable, folded_text, legacy_folded_text, packed_sizes, raw_offset, tokens, visible
 from tabloom.operators.locate import candidate_windows, exact_start
 from tabloom.operators.spans import first_break, header_and_body, trimmed
 
@@ -229,3 +232,36 @@ def test_the_bounded_sweep_finds_what_the_whole_sweep_finds(monkeypatch):
     windows = len(range(0, len(source), len(body) // 4)) + len(body) // 2
     assert pytext.legacy_place(source, body) == _plain_sweep(source, body, 0.5) is not None
     assert len(measured) < windows / 4
+
+
+def _folded_one_by_one(raw):
+    out, offsets = [], []
+    for m in re.finditer(r"<[^>]+>|&[#0-9A-Za-z]+;|.", raw, re.S):
+        token = m[0]
+        if len(token) > 1 and token[0] == "<":
+            continue
+        low = unicodedata.normalize("NFKC", html.unescape(token) if len(token) > 1 else token).lower()
+        piece = "".join(c for c in low if not c.isspace() and unicodedata.category(c) not in ("Cc", "Cf"))
+        out.append(piece)
+        offsets += [m.start()] * len(piece)
+    return "".join(out), offsets
+
+
+def test_only_what_folds_in_its_own_way_is_looked_at_piece_by_piece(monkeypatch):
+    r = random.Random(26)
+    pieces = ["a", "Z", "9", "<", ">", "&", ";", "#", " ", "\n", "\x0b", "\x1c", "\x7f", "\x85", "\xa0", "½", "é", "İ", "Σ", "́", "​", "\ud800", "Ａ", "𝔸", "&amp;", "&notit;", "&nbsp;", "&#13;", "&Eacute;", "&fjlig;", "<b>", "</p>"]
+    for _ in range(3000):
+        raw = "".join(r.choice(pieces) for _ in range(r.randrange(14)))
+        assert tuple(pytext.folded(raw)) == _folded_one_by_one(raw), raw
+        assert pytext.folded_text(raw) == pytext.folded(raw).text
+    seen, piece = [], pytext._piece
+    monkeypatch.setattr(pytext, "_piece", lambda token: seen.append(token) or piece(token))
+    raw = "<p>Plain text, of 1 kind &amp;\n\tno é other.</p>" * 50
+    assert tuple(pytext.folded(raw)) == _folded_one_by_one(raw)
+    assert len(seen) == 200
+
+
+def test_visible_texts_are_those_that_fold_to_something(spark):
+    raws = ["", " ", "a", " \n a", "<b>", "<b>a", " <", "&nbsp;", "&nbsp;a", "&", "<b>\n</b>&nbsp;", "é", "　", "\x1c", "\x7fa"]
+    rows = spark.createDataFrame([(x,) for x in raws], "raw string").select("raw", visible(F.col("raw")).alias("v")).collect()
+    assert [r["v"] for r in rows] == [pytext.folded(r["raw"]).text != "" for r in rows]
