@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_text_rules import CASES
+from test_text_rules import CASES, _plain_sweep
 
 from tabloom.__main__ import beside, main
 from tabloom.functions import pytext, sql
@@ -250,3 +250,24 @@ def test_passages_against_every_pair(spark):
     for chars in (1 << 20, 30):
         assert sorted(map(tuple, passages_in(t, p, "i", "s", "k", "p", chars).collect())) == want
     assert passages_in(t, p.limit(0), "i", "s", "k", "p").count() == 0 and passages_in(t.limit(0), p, "i", "s", "k", "p").count() == 0
+
+
+def test_of_a_title_and_a_navigation_that_lies_in_it_one_is_cut_out(spark):
+    text = "<title>Home news and shop today.</title><nav><li>Home</li><li>news</li><li>and</li></nav> end"
+    nav, title = "Home<br>news<br>and", "Home news and shop today."
+    row = extract_tables(_frame(spark, [(text, [nav, title])])).collect()[0]
+    assert [m["full_span"] for m in row["table_metrics"]] == [[7, 20], [7, 32]]
+    assert (row["text_list"], row["type_list"]) == (["<title>", title, text[32:]], [0, 1, 0])
+    assert "".join(row["text_list"]) == text
+
+
+def test_the_first_version_s_sweep_may_end_beside_the_exact_place(spark):
+    words = ["lyin", "lyin", "lyin", "andinly", "andinly", "lyin"]
+    lines = [f'<li><a href="/{w}">{w}</a></li>' for w in words]
+    text = f"<html><head><title>{' '.join(words)}</title></head><body><nav><ul>{''.join(lines)}</ul></nav><p>{'text ' * 30}</p></body></html>"
+    wrong = "Head<br>" + lines[0] + lines[1].replace("<li>", "<¤i>") + lines[2]
+    row = extract_tables(spark.createDataFrame([(text, json.dumps([{"content": wrong}]))], "ctt string, tabel_info string"), mode="legacy").collect()[0]
+    folded, body = pytext.legacy_folded(text), pytext.legacy_folded(wrong[8:]).text
+    place = _plain_sweep(folded.text, body, 0.5)
+    assert place[0] != folded.text.find(pytext.legacy_folded("".join(lines[:3])).text)
+    assert len(row["segments"][0]) == folded.offsets[place[0]]
